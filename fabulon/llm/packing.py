@@ -73,13 +73,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     rows are packed each; a text longer than the budget has a batch of its own, whole. Of docs
     only the two columns named are read. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), token_count(F.col(text_col)).alias("n_tokens")).withColumn("_top", bin_top(F.col("n_tokens")))
+    # Through a generator, so that the optimiser does not copy the count into every expression that uses it.
+    rows = docs.select(F.col(id_col).alias(id_col), F.explode(F.array(token_count(F.col(text_col)))).alias("n_tokens"))
+    rows = rows.select(id_col, "n_tokens", F.explode(F.array(bin_top(F.col("n_tokens")))).alias("_top"))
     histogram = sorted(map(tuple, rows.groupBy("_top").agg(F.count("*")).collect()))  # bounded: EXACT + STEPS for each doubling
     cuts = boundaries([t for t, _ in histogram], [c for _, c in histogram], buckets)
     spark = docs.sparkSession
-    place = F.lit(0)
-    for c in cuts[:-1]:
-        place = place + (F.col("_top") > c).cast("int")
+    place = F.size(F.filter(F.array(*map(F.lit, cuts[:-1] or [2**62])), lambda c: c < F.col("_top")))
     rows = rows.withColumn("bucket", place).withColumn("boundary", F.element_at(F.array(*map(F.lit, cuts or [0])), F.col("bucket") + 1).cast("long"))
     rows = rows.withColumn("_shard", F.pmod(spread_of(id_col), F.lit(SHARDS)).cast("int"))
     sizes = rows.groupBy("bucket", "_shard").agg(F.count("*").alias("_n"))

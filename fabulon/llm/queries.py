@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabulon.llm import chat, language, licenses, media, packing, pieces, toxicity
+from fabulon.llm import chat, jaccard, language, licenses, media, packing, pieces, spherical, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +45,10 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_similar(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -49,5 +57,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_media_columns, op4_length_buckets, op7_piece_codec, op9_toxicity_cnn, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_media_columns, op4_length_buckets, op5_spherical_caps, op7_piece_codec, op8_ngram_join, op9_toxicity_cnn, op10_language_id)}
 SQL = {"op1_license_scan": licenses.scan_sql()}

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +215,7 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
     def measure(batches):
         """A row for each document and, of each slice, the hashes that several documents hold."""
         for batch in batches:
-            for b in slices(batch, "text", 8 << 20):
+            for b in slices(batch, "text", 4 << 20):
                 flat, offsets = shingle_sets(b.column("text"), words)
                 ids, sizes = set_ids(flat, offsets), np.diff(offsets)
                 _, once = np.unique(ids, return_index=True)  # copies count once
@@ -225,13 +224,14 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
                 h, c = np.unique(flat[np.repeat(mask, sizes)], return_counts=True)
                 h, c = h[c > 1].view(np.int64), c[c > 1]
                 n = len(ids) + len(h)
-                doc = pc.if_else(True, b.column("doc_id"), None)
+                points = [p.tobytes() for p in count_vectors(flat, offsets)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([doc, pa.nulls(len(h), pa.int64())]), pa.array(np.concatenate([sizes, c])), pa.array(np.concatenate([ids, h])), pa.array(np.arange(n) < len(ids))],
-                    names=["doc_id", "n", "key", "is_doc"],
+                    [pa.concat_arrays([b.column("doc_id"), pa.nulls(len(h), pa.int64())]), pa.array(np.concatenate([sizes, c])), pa.array(np.concatenate([ids, h])), pa.array(np.arange(n) < len(ids)), pa.concat_arrays([pa.array(points, pa.binary()), pa.nulls(len(h), pa.binary())])],
+                    names=["doc_id", "n", "key", "is_doc", "point"],
                 )
 
-    measured = checkpointed(source.mapInArrow(measure, "doc_id long, n long, key long, is_doc boolean"))
+    measured = checkpointed(source.mapInArrow(measure, "doc_id long, n long, key long, is_doc boolean, point binary"))
+    points = measured.filter("is_doc").groupBy(F.col("key").alias("set_id")).agg(F.min("n").alias("n"), F.min("point").alias("point"))
     rows = measured.filter("is_doc").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_id"))
     repeated = measured.filter("not is_doc").groupBy("key").agg(F.sum("n").alias("n"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
@@ -244,7 +244,7 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
         frequent, counts = sent.value
         seen: set[int] = set()
         for batch in batches:
-            for b in slices(batch, "text", 8 << 20):
+            for b in slices(batch, "text", 4 << 20):
                 flat, offsets = shingle_sets(b.column("text"), words)
                 ids, heads, owners = set_ids(flat, offsets).tolist(), [], []
                 for i, s in enumerate(ids):
@@ -277,16 +277,12 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
     def whole(batches):
         seen: set[int] = set()  # repeated rows meet in one task
         for batch in batches:
-            for b in slices(batch, "text", 8 << 20):
+            for b in slices(batch, "text", 4 << 20):
                 flat, offsets = shingle_sets(b.column("text"), words)
-                points, ids = count_vectors(flat, offsets), set_ids(flat, offsets)
+                ids = set_ids(flat, offsets)
                 new = [i not in seen and not seen.add(i) for i in ids.tolist()]
-                arrays = [pa.array(ids), pa.array(np.diff(offsets)), pa.array([p.tobytes() for p in points], pa.binary()), pa.array([flat[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["set_id", "n", "point", "hashes"]).filter(pa.array(new, pa.bool_()))
-
-    one = rows.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(members.select("set_id").distinct(), "set_id", "left_semi").select(F.col("doc_id").alias("_id"))
-    sets = checkpointed(source.join(one, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text").mapInArrow(whole, "set_id long, n long, point binary, hashes binary"))
-    points = sets.select("set_id", "n", "point")
+                arrays = [pa.array(ids), pa.array([flat[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["set_id", "hashes"]).filter(pa.array(new, pa.bool_()))
 
     def searched(batches, full: bool):
         for t in _groups(batches, "tree"):
@@ -322,9 +318,14 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
                     ok.append(100 * both >= percent * (len(p) + len(q) - both))
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+        pairs = checkpointed(pairs.distinct())
+        named = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        one = rows.groupBy("set_id").agg(F.min("doc_id").alias("_id")).join(named, "set_id", "left_semi").select("_id")
+        # Only the sets in some pair are made again, from the text of one document each.
+        sets = checkpointed(source.join(one, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(whole, "set_id long, hashes binary"))
         x = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
         y = sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
-        return checkpointed(pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"))
+        return checkpointed(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"))
 
     seated = members.join(points, "set_id").repartition(width, "tree").sortWithinPartitions("tree", "set_id")
     first = verified(seated.mapInArrow(lambda b: searched(b, False), "a long, b long"))

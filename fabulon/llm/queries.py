@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabulon.llm import chat, jaccard, language, licenses, media, packing, pieces, spherical, toxicity
+from fabulon.llm import chat, jaccard, language, licenses, media, packing, pieces, spherical, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,5 +61,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_media_columns, op4_length_buckets, op5_spherical_caps, op7_piece_codec, op8_ngram_join, op9_toxicity_cnn, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_media_columns, op4_length_buckets, op5_spherical_caps, op6_suffix_sort, op7_piece_codec, op8_ngram_join, op9_toxicity_cnn, op10_language_id)}
 SQL = {"op1_license_scan": licenses.scan_sql()}

@@ -1,13 +1,59 @@
-"""A cleaning pipeline over documents, stage by stage."""
+"""A cleaning pipeline over documents: each stage works on all that the one before it kept.
+
+Language ID drops documents without a recognisable language, toxicity those flagged over their
+language's threshold, the n-gram join all but the smallest id of each group of near-duplicates,
+suffix dedup rewrites texts without repeated passages, and packing assigns the remaining
+documents to length buckets and token-budget batches.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fabulon.llm import jaccard, language, packing, suffixes, toxicity
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: SQL can express neither the trained models nor the joins; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
+def _kept(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """The rows of docs whose id (null too) is in good."""
+    good = good.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi").select(*COLUMNS)
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, language.identify(docs).filter(F.col("lang_pred") != language.NONE))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter(~F.col("flagged")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, jaccard.join_similar(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(docs, keep_text=True, carry=("lang", "source"))
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("toxicity", drop_toxic),
+    ("ngram_join", one_of_each_group),
+    ("suffix_dedup", without_repeats),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fabulon.llm.common import Rolling, joined_bytes, mixed, partitions, slices
 
@@ -164,22 +165,22 @@ def repeated(shared: np.ndarray, left: np.ndarray, lefts: np.ndarray, rights: np
 _BLOB = ("docs", "places", "rights", "lefts", "left", "shared", "tails", "sizes", "done_docs", "done_places", "done_masks")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining text, if asked) for each row of docs.
 
     Texts are UTF-8 bytes, null reads as empty; removed is each byte covered by a string of
     `length` bytes that also starts earlier: in a smaller doc_id, or earlier in the same document.
     A null id orders before all others. Rows with one id and different texts are documents of
     their own, in a fixed order; rows equal in both are one document, and each gets its result.
-    In `kept`, bytes of a character of which a part is removed read as U+FFFD. Other columns are
-    not read; an empty table gives an empty result.
+    In `kept`, bytes of a character of which a part is removed read as U+FFFD. The columns named
+    in carry come along; others are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     width, w = partitions(spark), length - k
     if not 0 < w < 63 or length > 255:
         raise ValueError("length - k must be 1 to 62, and length 255 at most")
     # One exchange of the texts, by id; the three passes below read the same shuffle files.
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark")).repartition(width, "doc")
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"), F.struct(*carry or [F.lit(0).alias("_none")]).alias("carried")).repartition(width, "doc")
 
     def first(batches):
         for b, order, again in _numbered(batches, []):
@@ -267,7 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
         if held:
             yield from _settled(held, length, k)
 
-    blobs = source.join(by_doc, "doc").select("doc", "mark", "text", "found").sortWithinPartitions("doc", "mark").mapInArrow(runs, "part int, " + ", ".join(f"{c} binary" for c in _BLOB))
+    blobs = source.join(by_doc, "doc").select("doc", "mark", "text", "carried", "found").sortWithinPartitions("doc", "mark").mapInArrow(runs, "part int, " + ", ".join(f"{c} binary" for c in _BLOB))
     # Runs of a part come in text order of their slices only by chance; ranks settle ties, not run order.
     marks = blobs.repartition(width, "part").sortWithinPartitions("part").mapInArrow(combine, "doc long, place long, mask long")
     marked = marks.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("found"))
@@ -296,10 +297,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
                 row = (None if doc == NULL_ID else doc, len(raw), removed, spans, hashlib.sha256(rest).hexdigest())
                 out.append((*row, (rest.decode("utf-8", "replace") if text.is_valid else None)) if keep_text else row)
             kinds = [pa.int64()] * 4 + [pa.string()] * (1 + keep_text)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)])
+            arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, b.column("carried")], names=[*["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)], "carried"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
-    return source.join(marked, "doc", "left").select("doc", "mark", "text", "found").sortWithinPartitions("doc", "mark").mapInArrow(cut, schema)
+    schema = StructType([*StructType.fromDDL(schema).fields, source.schema["carried"]])
+    out = source.join(marked, "doc", "left").select("doc", "mark", "text", "carried", "found").sortWithinPartitions("doc", "mark").mapInArrow(cut, schema)
+    return out.select(*[c for c in out.columns if c != "carried"], *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def _settled(rows: list[dict], length: int, k: int, chunk: int = 200_000) -> Iterator[pa.RecordBatch]:

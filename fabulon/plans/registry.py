@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from fabulon.plans import facts
+
+QUERIES: dict = {**facts.QUERIES}
+SQL: dict[str, str] = {**facts.SQL}

@@ -18,23 +18,27 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from fabulon.llm.common import checkpointed, partitions, spread_key
 from fabulon.llm.graph import components
 from fabulon.llm.jaccard import _groups
 
-#: Filters that a vector passes on average.
-FILTERS = 64
+#: Filters of one code that a vector passes on average.
+FILTERS = 10
+#: Independent product codes: how many filters a vector passes varies less over several small codes than over a large one.
+CODES = 4
 #: Vectors that pass one filter on average.
-MEETING = 64
+MEETING = 32
 #: Vectors of one label and filter compared at once; more are cut into chunks, and every two chunks meet.
 CHUNK = 1024
 
 
-@lru_cache(maxsize=8)
-def code(dims: int, rows: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+@lru_cache(maxsize=16)
+def code(dims: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Rotation, the codewords of both blocks, and the threshold, for a table of so many vectors."""
     share = min(0.2, MEETING / max(rows, 1))
     r = np.random.default_rng([seed, dims])
@@ -45,8 +49,16 @@ def code(dims: int, rows: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray,
 
 
 def decode(unit: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) for all filters that each unit vector passes, ordered by row and filter."""
-    turn, one, two, least = code(unit.shape[1], rows)
+    """(row, filter) for all filters of all codes that each unit vector passes, ordered by row and filter."""
+    parts = [_decode(unit, rows, seed) for seed in range(CODES)]
+    size = code(unit.shape[1], rows, 0)[1].shape[1] ** 2
+    row, own = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + i * size for i, p in enumerate(parts)])
+    at = np.lexsort((own, row))
+    return row[at], own[at]
+
+
+def _decode(unit: np.ndarray, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    turn, one, two, least = code(unit.shape[1], rows, seed)
     x = unit @ turn
     a, b = x[:, : one.shape[0]] @ one, x[:, one.shape[0] :] @ two
     top = b.max(axis=1) if b.shape[1] else np.zeros(len(x))
@@ -124,55 +136,65 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     sound = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = v.filter(sound & F.col("vec_id").isNotNull())
     rows = valid.count()
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
+    kind = "<f4" if single else "<f8"  # single components travel as they are; all arithmetic is in double
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps squares within range
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     def decoded(batches):
+        for b, pick, x in by_length(batches):
+            row, own = decode(unit(x), rows)
+            at = pa.array(pick[row])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("label").take(at), pa.array(np.full(len(row), x.shape[1])), pa.array(own)], names=["vec_id", "label", "dims", "filter"])
+
+    def packed(batches):
+        for b, pick, x in by_length(batches):
+            row, own = decode(unit(x), rows)
+            ends = np.cumsum(np.bincount(row, minlength=len(x)))
+            lists = [p.tobytes() for p in np.split(own.astype(np.int32), ends[:-1])]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(pick)), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(lists, pa.binary())], names=["vec_id", "raw", "filters"])
+
+    def by_length(batches):
         for b in batches:
             lists = b.column("v")
-            for dims in sorted(set(map(len, lists))):
-                pick = np.array([i for i, x in enumerate(lists) if len(x) == dims])
-                part = b.take(pa.array(pick))
-                x = part.column("v").flatten().to_numpy().reshape(-1, dims)
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps squares within range
-                unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                row, own = decode(unit, rows)
-                sizes = np.bincount(row, minlength=len(unit))
-                ends = np.cumsum(sizes)
-                lists_of = [own[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id").take(at), pa.array(np.asarray(part.column("label"))[row], pa.string()), pa.array(np.full(len(row), dims)), pa.array(own), pa.array([u.tobytes() for u in unit], pa.binary()).take(at), pa.array(lists_of, pa.binary()).take(at)],
-                    names=["vec_id", "label", "dims", "filter", "unit", "filters"],
-                )
-
-    met = valid.mapInArrow(decoded, "vec_id long, label string, dims long, filter long, unit binary, filters binary")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            for dims in np.unique(sizes).tolist():
+                pick = np.flatnonzero(sizes == dims)
+                yield b, pick, lists.take(pa.array(pick)).flatten().to_numpy().reshape(-1, dims)
+
     key = ["label", "dims", "filter"]
-    crowds = valid.mapInArrow(decoded, "vec_id long, label string, dims long, filter long, unit binary, filters binary").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
-    met = met.join(crowds.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), key)
+    passed = valid.mapInArrow(decoded, "vec_id long, label string, dims long, filter long")
+    crowds = passed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    met = passed.join(crowds.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), key)
     met = met.withColumn("own", F.pmod(spread_key("vec_id"), F.col("chunks")).cast("int"))
     # A vector goes to the meetings of its chunk with every chunk; one meeting for most filters.
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).withColumn("meeting", F.xxhash64(*key, "low", "high"))
-    dealt = met.select("meeting", "own", "low", "high", "vec_id", "filter", "unit", "filters").repartition(width, "meeting").sortWithinPartitions("meeting", "own", "vec_id")
+    # Vectors join once it is known who meets whom, so that they move for meetings only, and once.
+    carried = valid.mapInArrow(packed, "vec_id long, raw binary, filters binary")
+    dealt = met.select("meeting", "own", "low", "high", "vec_id", "filter").join(carried, "vec_id").repartition(width, "meeting").sortWithinPartitions("meeting", "own", "vec_id")
 
     def meet(batches):
         for t in _groups(batches, "meeting"):
             m, own, low, high, ids, here = (t.column(c).to_numpy() for c in ("meeting", "own", "low", "high", "vec_id", "filter"))
-            raw, lists = t.column("unit").to_pylist(), t.column("filters").to_pylist()
+            raw, lists = t.column("raw").to_pylist(), t.column("filters").to_pylist()
             start = np.append(np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])), len(m))
             out = [[], [], []]
             for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
                 if e - s < 2:
                     continue
-                x = np.frombuffer(b"".join(raw[s:e])).reshape(e - s, -1)
+                x = unit(np.frombuffer(b"".join(raw[s:e]), dtype=kind).reshape(e - s, -1).astype(np.float64))
                 f = None
                 cut = int(np.searchsorted(own[s:e], low[s], side="right"))
                 if low[s] == high[s]:
                     if not (x @ x.T >= least).sum() > e - s - 1:
                         continue
-                    f = [np.frombuffer(y, dtype=np.int64) for y in lists[s:e]]
+                    f = [np.frombuffer(y, dtype=np.int32) for y in lists[s:e]]
                     counts, classes, hit = compare(x, None, f, None, int(here[s]), least)
                 elif 0 < cut < e - s:
-                    f = [np.frombuffer(y, dtype=np.int64) for y in lists[s:e]]
+                    f = [np.frombuffer(y, dtype=np.int32) for y in lists[s:e]]
                     counts, classes, hit = compare(x[:cut], x[cut:], f[:cut], f[cut:], int(here[s]), least)
                 else:
                     continue

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Latin letters with a mark, and what they fold to (fixed values).
 _MARKED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšťùúûüūůűýÿžźż"
@@ -88,9 +89,7 @@ def _jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 
-@F.pandas_udf("double")
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro similarity with 0.1 for each of up to four common leading characters, at any level."""
+def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b, strict=True):
         if x is None or y is None:
@@ -101,3 +100,8 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
             p += 1
         out.append(j + p * 0.1 * (1 - j))
     return pd.Series(out, dtype="float64")
+
+
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """Jaro similarity with 0.1 for each of up to four common leading characters, at any level; null if either is."""
+    return F.pandas_udf(_jaro_winkler, DoubleType())(a, b)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fabulon.plans import facts
+from fabulon.plans import facts, texts
 
-QUERIES: dict = {**facts.QUERIES}
-SQL: dict[str, str] = {**facts.SQL}
+QUERIES: dict = facts.QUERIES | texts.QUERIES
+SQL: dict[str, str] = facts.SQL | texts.SQL

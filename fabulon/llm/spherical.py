@@ -28,7 +28,7 @@ from fabulon.llm.graph import components
 from fabulon.llm.jaccard import _groups
 
 #: Filters of one code that a vector passes on average.
-FILTERS = 10
+FILTERS = 12
 #: Independent product codes: how many filters a vector passes varies less over several small codes than over a large one.
 CODES = 4
 #: Vectors that pass one filter on average.

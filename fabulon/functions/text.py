@@ -28,8 +28,10 @@ def bracketed(text: Column) -> Column:
 
 
 def fields(text: Column) -> Column:
-    """Key: value lines of a status window, as an array of keys."""
-    return F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(1))
+    """Keys of the key: value lines of a status window, its brackets taken off."""
+    t = F.trim(text)
+    body = F.when(bracketed(text), F.substr(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(text)
+    return F.regexp_extract_all(body, F.lit(KEY_VALUE), F.lit(1))
 
 
 def is_system_window(text: Column, least: int = 2) -> Column:

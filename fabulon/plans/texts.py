@@ -10,6 +10,8 @@ from fabulon.operators import evaluate, mentions, resolve, sequence
 from fabulon.sources.adapters import BLOCKS_SQL, blocks, table
 
 WITH_BLOCKS = f"WITH {BLOCKS_SQL}"
+_BRACKETED = "(trim(text) LIKE '[%]' OR trim(text) LIKE '<%>')"
+_BODY = f"CASE WHEN {_BRACKETED} THEN trim(text)[2:-2] ELSE text END"
 _WORDS = "list_filter(string_split_regex(lower({t}), '[^a-z0-9\u0080-￿]+'), lambda w: w <> '')"
 _TERMS = f"list_filter({_WORDS}, lambda w: length(w) > 2 AND w NOT IN ({', '.join(repr(x) for x in text.STOP)}))"
 
@@ -222,7 +224,7 @@ def _candidates(s: SparkSession, d: str) -> DataFrame:
     l = table(s, d, "lineitem").filter("l_orderkey % 4 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.expr(f"cast({e} as double)").alias(k) for k, e in _EVIDENCE.items()])
     verdict, confidence = resolve.prefilter((F.col("l_partkey") % 17 == 0).cast("double"), F.col("temporal"), (F.col("l_partkey") % 23 == 0).cast("double"), (F.col("l_suppkey") % 29 == 0).cast("double"), F.col("surface"))
     p = resolve.probability(resolve.raw_score({k: F.col(k) for k in _EVIDENCE}))
-    return l.withColumn("verdict", verdict).withColumn("confidence", confidence).withColumn("probability", F.round(p, 9)).withColumn("candidate", F.col("l_suppkey")).withColumn("position", F.col("l_linenumber"))
+    return l.withColumn("verdict", verdict).withColumn("confidence", confidence).withColumn("probability", F.round(p, 9)).withColumn("candidate", F.col("l_suppkey")).withColumn("position", F.expr("l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey"))
 
 
 def prefilter(s: SparkSession, d: str) -> DataFrame:
@@ -336,7 +338,7 @@ _POINT = f"""WITH sp AS (SELECT o_custkey AS block, {_DAY.format(c='o_orderdate'
   r AS (SELECT p.block, p."offset", arg_min(span, a * 10000000000::HUGEINT + span) AS span FROM p LEFT JOIN sp ON p.block = sp.block AND a <= p."offset" AND p."offset" < a + 200 GROUP BY ALL)"""
 _NEAREST = """WITH e AS (SELECT user_id, event_id, event_type, {at} AS at FROM events), j AS (SELECT l.event_id AS x, r.event_id AS y, abs(l.at - r.at) AS gap FROM e l JOIN e r ON l.user_id = r.user_id AND l.event_type = '{a}' AND r.event_type = '{b}' WHERE {near})
   SELECT x AS {x}, arg_min(y, gap * 10000000000::HUGEINT + y) AS {y}, min(gap) AS gap FROM j GROUP BY 1"""
-_CAND = """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 50 AS surface, l_discount * 10 AS context, l_tax * 12 AS partner, (l_linenumber % 3) / 2.0::DOUBLE AS temporal, (l_suppkey % 10) / 10.0::DOUBLE AS prior FROM lineitem WHERE l_orderkey % 4 = 0),
+_CAND = """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS pos, l_quantity / 50 AS surface, l_discount * 10 AS context, l_tax * 12 AS partner, (l_linenumber % 3) / 2.0::DOUBLE AS temporal, (l_suppkey % 10) / 10.0::DOUBLE AS prior FROM lineitem WHERE l_orderkey % 4 = 0),
   c AS (SELECT *, CASE WHEN l_partkey % 17 = 0 OR temporal <= 0 THEN 'BLOCK' WHEN l_partkey % 23 = 0 OR l_suppkey % 29 = 0 OR surface >= 0.86 THEN 'FORCE_LINK' ELSE 'SCORE' END AS verdict,
     CASE WHEN l_partkey % 17 = 0 OR temporal <= 0 THEN 0.0 WHEN l_partkey % 23 = 0 THEN 0.98 WHEN l_suppkey % 29 = 0 THEN 0.95 WHEN surface >= 0.86 THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence,
     round(1 / (1 + exp(-(-4.0::DOUBLE + 1.2::DOUBLE * CASE WHEN surface < 0.8 THEN 0.0 ELSE surface END + 2.0::DOUBLE * context + 1.5::DOUBLE * partner + 1.0::DOUBLE * temporal + 0.4::DOUBLE * prior))), 9) AS probability FROM l)"""
@@ -345,10 +347,10 @@ _NAME = "(CASE c_custkey % 3 WHEN 0 THEN 'the lord ' WHEN 1 THEN 'élder ' ELSE
 _JW = """WITH x AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part), y AS (SELECT *, jaro_similarity(a, b) AS j, CASE WHEN a[1:4] = b[1:4] THEN 4 WHEN a[1:3] = b[1:3] THEN 3 WHEN a[1:2] = b[1:2] THEN 2 WHEN a[1] = b[1] THEN 1 ELSE 0 END AS p FROM x) SELECT p_partkey, round(j + least(p, length(a), length(b)) * 0.1 * (1 - j), 6) AS similarity FROM y"""
 
 SQL = {
-    "block_classify": f"""{WITH_BLOCKS}, f AS (SELECT lang, text, len(regexp_extract_all(text, {_re(text.KEY_VALUE)}, 1)) AS n, (trim(text) LIKE '[%]' OR trim(text) LIKE '<%>') AS br FROM blocks)
+    "block_classify": f"""{WITH_BLOCKS}, f AS (SELECT lang, text, len(regexp_extract_all({_BODY}, {_re(text.KEY_VALUE)}, 1)) AS n, {_BRACKETED} AS br FROM blocks)
         SELECT lang, CASE WHEN trim(text) = '' OR lower(trim(text)) IN ({', '.join(repr(b) for b in text.BOILERPLATE)}) THEN 'NON_DIEGETIC' WHEN regexp_matches(text, {_re(text.AUTHOR_NOTE)}) THEN 'AUTHOR_NOTE' WHEN regexp_matches(text, {_re(text.TRANSLATOR_NOTE)}) THEN 'TRANSLATOR_NOTE'
         WHEN (br OR regexp_matches(text, {_re(text.SYSTEM_WORDS)})) AND (n >= 2 OR (n > 0 AND br AND length(text) < 200)) THEN 'SYSTEM_WINDOW' ELSE 'PROSE' END AS block_type, count(*) AS n_blocks FROM f GROUP BY ALL""",
-    "system_window": f"{WITH_BLOCKS}, f AS (SELECT chapter, len(regexp_extract_all(text, {_re(text.KEY_VALUE)}, 1)) AS n FROM blocks) SELECT chapter, CAST(sum(n) AS BIGINT) AS n_fields, count(*) AS n_blocks FROM f WHERE n > 0 GROUP BY 1",
+    "system_window": f"{WITH_BLOCKS}, f AS (SELECT chapter, len(regexp_extract_all({_BODY}, {_re(text.KEY_VALUE)}, 1)) AS n FROM blocks) SELECT chapter, CAST(sum(n) AS BIGINT) AS n_fields, count(*) AS n_blocks FROM f WHERE n > 0 GROUP BY 1",
     "narrative_markers": WITH_BLOCKS + ", m AS (" + " UNION ALL ".join(f"SELECT lang, '{k}' AS kind, {c}::DOUBLE AS confidence, len(regexp_extract_all(text, {_re(p)})) AS n FROM blocks" for k, (p, c) in text.MARKERS.items()) + ") SELECT lang, kind, confidence, CAST(sum(n) AS BIGINT) AS n_markers FROM m GROUP BY ALL",
     "delivery_markers": f"WITH w AS (SELECT doc_id, unnest({_WORDS.format(t='text')}) AS word FROM documents) SELECT doc_id, polarity, count(*) AS n FROM w JOIN (VALUES {', '.join(str(x) for x in sorted(text.DELIVERY.items()))}) v(word, polarity) USING (word) GROUP BY ALL",
     "mob_phrases": f"{WITH_BLOCKS} SELECT source, CAST(sum(len(regexp_extract_all(text, {_re(text.MOBS)}))) AS BIGINT) AS n_mobs, count(*) AS n_blocks FROM blocks GROUP BY 1",
@@ -399,7 +401,7 @@ SQL = {
     "prefilter": f"{_CAND} SELECT verdict, confidence, count(*) AS n FROM c GROUP BY ALL",
     "score": f"{_CAND} SELECT l_orderkey, l_linenumber, round(probability, 6) AS probability FROM c",
     "ablation": _CAND + ", t AS (SELECT 1.2::DOUBLE * CASE WHEN surface < 0.8 THEN 0.0 ELSE surface END AS surface, 2.0::DOUBLE * context AS context, 1.5::DOUBLE * partner AS partner, temporal, 0.4::DOUBLE * prior AS prior FROM c) SELECT " + ", ".join(f"round(avg(-4.0::DOUBLE + {' + '.join(x for x in _EVIDENCE if x != k)}), 6) AS without_{k}" for k in _EVIDENCE) + " FROM t",
-    "gate": f"""{_CAND}, g AS (SELECT l_orderkey, arg_min(l_suppkey, l_linenumber) FILTER (verdict = 'FORCE_LINK') AS forced, max(probability) FILTER (verdict = 'SCORE') AS best, (list(l_suppkey ORDER BY probability DESC, l_linenumber) FILTER (verdict = 'SCORE'))[1] AS bc, list(probability ORDER BY probability DESC) FILTER (verdict = 'SCORE') AS ps FROM c GROUP BY 1)
+    "gate": f"""{_CAND}, g AS (SELECT l_orderkey, arg_min(l_suppkey, pos) FILTER (verdict = 'FORCE_LINK') AS forced, max(probability) FILTER (verdict = 'SCORE') AS best, (list(l_suppkey ORDER BY probability DESC, pos) FILTER (verdict = 'SCORE'))[1] AS bc, list(probability ORDER BY probability DESC) FILTER (verdict = 'SCORE') AS ps FROM c GROUP BY 1)
         SELECT l_orderkey, CASE WHEN forced IS NOT NULL THEN 'LINK' WHEN best IS NULL OR best <= 0.3 THEN 'NEW' WHEN best >= 0.75 AND NOT coalesce(len(ps) > 1 AND ps[1] - ps[2] < 0.05, false) THEN 'LINK' ELSE 'DEFER' END AS decision, CASE WHEN forced IS NOT NULL THEN forced WHEN best > 0.3 THEN bc END AS candidate, coalesce(len(ps), 0) AS n_allowed FROM g""",
     "sweep_names": "SELECT l_partkey, count(DISTINCT l_suppkey) AS n_names FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 20",
     "sweep_attributes": "SELECT p_brand AS target, 'size' AS \"key\", count(DISTINCT p_size) AS n_values FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1",

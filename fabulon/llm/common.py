@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -23,7 +24,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # What df was computed from is not needed any more: let Spark remove its shuffle files now, not when memory happens to run short.
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

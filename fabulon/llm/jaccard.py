@@ -27,7 +27,7 @@ from fabulon.llm.common import Rolling, checkpointed, joined_bytes, mixed, parti
 from fabulon.llm.graph import components
 
 #: Groups of a count vector.
-GROUPS = 64
+GROUPS = 256
 #: Points of a leaf, children of a node.
 LEAF = 32
 #: The most hashes kept as frequent: what is sent to the executors has at most 16 bytes for each.
@@ -224,7 +224,7 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
                 h, c = np.unique(flat[np.repeat(mask, sizes)], return_counts=True)
                 h, c = h[c > 1].view(np.int64), c[c > 1]
                 n = len(ids) + len(h)
-                points = [p.tobytes() for p in count_vectors(flat, offsets)]
+                points = [(p.astype(np.uint8) if p.max() < 256 else p).tobytes() for p in count_vectors(flat, offsets)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.concat_arrays([b.column("doc_id"), pa.nulls(len(h), pa.int64())]), pa.array(np.concatenate([sizes, c])), pa.array(np.concatenate([ids, h])), pa.array(np.arange(n) < len(ids)), pa.concat_arrays([pa.array(points, pa.binary()), pa.nulls(len(h), pa.binary())])],
                     names=["doc_id", "n", "key", "is_doc", "point"],
@@ -287,7 +287,7 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
     def searched(batches, full: bool):
         for t in _groups(batches, "tree"):
             tree, ids, n = (t.column(c).to_numpy() for c in ("tree", "set_id", "n"))
-            vectors = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+            vectors = np.stack([np.frombuffer(p, dtype=np.uint8 if len(p) == GROUPS else np.int32) for p in t.column("point").to_pylist()]).astype(np.int32)
             classes = t.column("class").to_numpy() if full else None
             start = np.append(np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]])), len(tree))
             left, right = [], []

@@ -127,3 +127,24 @@ def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1, offset=8 * column.offset)
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
+
+
+def groups_of(batches, key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows from batches sorted by key; a group spans tables never."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        k = b.column(key).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(k, k[-1])) if np.all(k[:-1] <= k[1:]) else 0
+        if cut or (held and held[-1].column(key)[-1].as_py() != k[0]):
+            if cut == 0:
+                yield pa.Table.from_batches(held)
+                held = [b]
+                continue
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)

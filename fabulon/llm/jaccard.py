@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabulon.llm.common import Rolling, checkpointed, joined_bytes, mixed, partitions, slices
+from fabulon.llm.common import Rolling, checkpointed, groups_of, joined_bytes, mixed, partitions, slices
 from fabulon.llm.graph import components
 
 #: Groups of a count vector.
@@ -182,27 +182,6 @@ def all_pairs(points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, percen
                 yield w[x], rows[y]
 
 
-def _groups(batches, key: str, least: int = 2) -> Iterator[pa.Table]:
-    """Tables of whole groups of rows from batches sorted by key; a group spans tables never."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(k, k[-1])) if np.all(k[:-1] <= k[1:]) else 0
-        if cut or (held and held[-1].column(key)[-1].as_py() != k[0]):
-            if cut == 0:
-                yield pa.Table.from_batches(held)
-                held = [b]
-                continue
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = [b.slice(cut)]
-        else:
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles, set_id) and (links: a, b set ids that are similar enough and enough to connect all such).
 
@@ -258,7 +237,7 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
 
     def trees(batches):
         """(tree, set_id) for each hash that several sets hold; a tree is named by a hash of its sets, so equal ones have one name."""
-        for t in _groups(batches, "key"):
+        for t in groups_of(batches, "key"):
             k, s = (t.column(c).to_numpy() for c in ("key", "set_id"))
             new = np.ones(len(k), dtype=bool)
             new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
@@ -285,7 +264,7 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
                 yield pa.RecordBatch.from_arrays(arrays, names=["set_id", "hashes"]).filter(pa.array(new, pa.bool_()))
 
     def searched(batches, full: bool):
-        for t in _groups(batches, "tree"):
+        for t in groups_of(batches, "tree"):
             tree, ids, n = (t.column(c).to_numpy() for c in ("tree", "set_id", "n"))
             vectors = np.stack([np.frombuffer(p, dtype=np.uint8 if len(p) == GROUPS else np.int32) for p in t.column("point").to_pylist()]).astype(np.int32)
             classes = t.column("class").to_numpy() if full else None

@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from fabulon.llm.common import checkpointed, partitions, spread_key
+from fabulon.llm.common import checkpointed, groups_of, partitions, spread_key
 from fabulon.llm.graph import components
-from fabulon.llm.jaccard import _groups
 
 #: Filters of one code that a vector passes on average.
 FILTERS = 12
@@ -177,7 +176,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     dealt = met.select("meeting", "own", "low", "high", "vec_id", "filter").join(carried, "vec_id").repartition(width, "meeting").sortWithinPartitions("meeting", "own", "vec_id")
 
     def meet(batches):
-        for t in _groups(batches, "meeting"):
+        for t in groups_of(batches, "meeting"):
             m, own, low, high, ids, here = (t.column(c).to_numpy() for c in ("meeting", "own", "low", "high", "vec_id", "filter"))
             raw, lists = t.column("raw").to_pylist(), t.column("filters").to_pylist()
             start = np.append(np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])), len(m))

@@ -10,8 +10,10 @@ runs, front-coded (each suffix says how many bytes it shares with the one before
 exchanged. A task merges its runs with a loser tree that carries the common prefixes along, so
 that bytes known to be equal are not compared again. Neighbours in merged order with a long
 enough common prefix, grouped further by the bytes left of the anchor, are the repeated strings.
-An occurrence whose whole surroundings occur before it in the same slice is settled there and
-not sent.
+Most occurrences lie inside longer repeats. If all bytes that a string around the anchor can
+reach are the same as at an earlier occurrence, every string around it is a repeat; these are
+settled by a hash of the surroundings, and only one occurrence of each surroundings is sorted,
+and that only where an anchor has several.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fabulon.llm.common import Rolling, joined_bytes, mixed, partitions, slices
+from fabulon.llm.common import Rolling, groups_of, joined_bytes, mixed, partitions, slices
 
 NULL_ID = -(1 << 63)
+#: Mask of an occurrence all of whose strings are repeats.
+_ALL = -1
 #: Place of a suffix: document order number << 40 | byte position.
 _ORD = 40
 SLICE = 4 << 20
@@ -162,7 +166,7 @@ def repeated(shared: np.ndarray, left: np.ndarray, lefts: np.ndarray, rights: np
     return masks
 
 
-_BLOB = ("docs", "places", "rights", "lefts", "left", "shared", "tails", "sizes", "done_docs", "done_places", "done_masks")
+_BLOB = ("docs", "places", "rights", "lefts", "left", "shared", "tails", "sizes")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -212,31 +216,55 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
 
     found = source.sortWithinPartitions("doc", "mark").mapInArrow(first, "key long, doc long, place long")
     found = found.repartition(width, "key").sortWithinPartitions("key").mapInArrow(several, "key long, doc long, place long")
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("place", "key")).alias("found"))  # as many as the document's length allows
+    # As many places as a document's length allows. Left joins, so that all passes read one exchange of the texts.
+    by_doc = found.groupBy("doc").agg(F.collect_list("place").alias("found"))
 
-    def runs(batches):
+    def located(batches):
+        """Of each slice: its bytes, and of each found place its id, the place, its byte position and how far its document reaches."""
         for b, order, again in _numbered(batches, []):
             data, offsets = joined_bytes(b.column("text"))
             lists = b.column("found")
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            flat = lists.flatten()
-            place, key = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            place = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), sizes)
             own = (place >> _ORD == order[row]) & ~again[row]
-            place, key, row = place[own], key[own], row[own]
+            place, row = place[own], row[own]
+            if len(place) == 0:
+                continue
             ids = b.column("doc").to_numpy()[row]
             at = np.lexsort((place, ids))
-            place, key, row, ids = place[at], key[at], row[at], ids[at]
+            place, row, ids = place[at], row[at], ids[at]
             pos = (place & ((1 << _ORD) - 1)) + offsets[row]
-            rights, lefts = np.minimum(offsets[row + 1] - pos, length), np.minimum(pos - offsets[row], w)
-            around = mixed(Rolling(data).of(pos - lefts, pos + rights) + (lefts * 256 + rights).astype(np.uint64))
-            _, head, which = np.unique(around, return_index=True, return_inverse=True)
-            sent = head[which] == np.arange(len(pos))
+            yield data, ids, place, pos, np.minimum(offsets[row + 1] - pos, length), np.minimum(pos - offsets[row], w)
+
+    def surround(batches):
+        for data, ids, place, pos, rights, lefts in located(batches):
+            hashes = Rolling(data)
+            around = mixed(hashes.of(pos - lefts, pos + rights) + (lefts * 256 + rights).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.of(pos, pos + k).view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids), pa.array(place)], names=["key", "around", "doc", "place"])
+
+    def decide(batches):
+        """Of each surroundings all but the first are settled; the first is sent on if its anchor has other surroundings."""
+        for t in groups_of(batches, "key"):
+            key, around = t.column("key").to_numpy(), t.column("around").to_numpy()
+            new_key = np.concatenate([[True], key[1:] != key[:-1]])
+            head = new_key | np.concatenate([[True], around[1:] != around[:-1]])
+            group = np.cumsum(new_key) - 1
+            several_ = np.bincount(group, weights=head)[group] > 1
+            keep = ~head | several_
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(keep)) for c in ("doc", "place")] + [pa.array(head[keep])], names=["doc", "place", "send"])
+
+    kept = ("doc", "mark", "text", "carried", "found")
+    placed = source.join(by_doc, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").mapInArrow(surround, "key long, around long, doc long, place long")
+    decided = placed.repartition(width, "key").sortWithinPartitions("key", "around", "doc", "place").mapInArrow(decide, "doc long, place long, send boolean")
+    to_send = decided.filter("send").groupBy("doc").agg(F.collect_list("place").alias("found"))
+
+    def runs(batches):
+        for data, ids, place, pos, rights, lefts in located(batches):
+            part_of = (Rolling(data).of(pos, pos + k) % np.uint64(width)).astype(np.int64)
             padded = np.concatenate([np.zeros(w, dtype=np.uint8), data, np.zeros(length, dtype=np.uint8)])
-            full = np.int64(0)
-            for part in np.unique(key % width).tolist():
-                mine = key % width == part
-                i = np.flatnonzero(mine & sent)
+            for part in np.unique(part_of).tolist():
+                i = np.flatnonzero(part_of == part)
                 right = padded[(pos[i] + w)[:, None] + np.arange(length)]
                 right[np.arange(length)[None] >= rights[i, None]] = 0
                 s = np.argsort(right.view(f"S{length}").ravel(), kind="stable")
@@ -246,12 +274,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
                 differ = right[1:] != right[:-1]
                 shared = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), length)]).astype(np.uint8)[: len(i)]
                 tail = np.arange(length)[None] >= shared[:, None]
-                # Settled here: every string around the anchor that fits the document occurs before.
-                j = np.flatnonzero(mine & ~sent)
-                a = np.arange(w + 1)
-                masks = ((a[None] <= lefts[j, None]) & (length - a[None] <= rights[j, None])).astype(np.int64) @ (np.int64(1) << a) if len(j) else np.full(0, full)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (ids[i], place[i], rights[i].astype(np.uint8), lefts[i].astype(np.uint8), left, shared, right[tail], (length - shared).astype(np.uint8), ids[j], place[j], masks.astype(np.int64))],
+                    [pa.array([part], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (ids[i], place[i], rights[i].astype(np.uint8), lefts[i].astype(np.uint8), left, shared, right[tail], (length - shared).astype(np.uint8))],
                     names=["part", *_BLOB],
                 )
 
@@ -268,9 +292,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
         if held:
             yield from _settled(held, length, k)
 
-    blobs = source.join(by_doc, "doc").select("doc", "mark", "text", "carried", "found").sortWithinPartitions("doc", "mark").mapInArrow(runs, "part int, " + ", ".join(f"{c} binary" for c in _BLOB))
-    # Runs of a part come in text order of their slices only by chance; ranks settle ties, not run order.
+    blobs = source.join(to_send, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").mapInArrow(runs, "part int, " + ", ".join(f"{c} binary" for c in _BLOB))
+    # Runs of a part come in no fixed order; ranks settle which occurrence is first, not run order.
     marks = blobs.repartition(width, "part").sortWithinPartitions("part").mapInArrow(combine, "doc long, place long, mask long")
+    marks = marks.unionByName(decided.filter("not send").select("doc", "place", F.lit(_ALL).cast("long").alias("mask")))
     marked = marks.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("found"))
 
     def cut(batches):
@@ -285,6 +310,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
                     for f in found:
                         if f["place"] >> _ORD == order[i]:
                             p, mask = f["place"] & ((1 << _ORD) - 1), f["mask"]
+                            if mask == _ALL:
+                                first_, last_ = max(0, p - w), min(p, len(raw) - length)
+                                if first_ <= last_:
+                                    step[first_] += 1
+                                    step[last_ + length] -= 1
+                                continue
                             while mask:
                                 low = (mask & -mask).bit_length() - 1
                                 high = low + (~(mask >> low) & -(~(mask >> low))).bit_length() - 1  # bits low to high - 1 are set
@@ -302,21 +333,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
     schema = StructType([*StructType.fromDDL(schema).fields, source.schema["carried"]])
-    out = source.join(marked, "doc", "left").select("doc", "mark", "text", "carried", "found").sortWithinPartitions("doc", "mark").mapInArrow(cut, schema)
+    out = source.join(marked, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").mapInArrow(cut, schema)
     return out.select(*[c for c in out.columns if c != "carried"], *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def _settled(rows: list[dict], length: int, k: int, chunk: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Marks of one part: those settled in slices, then those found by merging its runs, whole groups of equal anchors at a time."""
+    """Marks of one part, found by merging its runs, whole groups of equal anchors at a time."""
 
     def batch(docs, places, masks):
         return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places), pa.array(masks)], names=["doc", "place", "mask"])
 
     w = length - k
-    for r in rows:
-        done = [np.frombuffer(r[c], dtype=np.int64) for c in ("done_docs", "done_places", "done_masks")]
-        if len(done[0]):
-            yield batch(*done)
     runs = [Run(r["shared"], r["tails"], r["sizes"]) for r in rows]
     start = np.cumsum([0] + [len(r["shared"]) for r in rows])
     docs, places = (np.frombuffer(b"".join(r[c] for r in rows), dtype=np.int64) for c in ("docs", "places"))

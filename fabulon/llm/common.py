@@ -24,12 +24,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
-    out = df.checkpoint(eager=True)
-    # What df was computed from is not needed any more: let Spark remove its shuffle files now, not when memory happens to run short.
-    del df
+    # Nothing refers to the steps before the last checkpoint any more: let Spark remove their shuffle files now, not when memory happens to run short.
     gc.collect()
     sc._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def partitions(spark: SparkSession) -> int:

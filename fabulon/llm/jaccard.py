@@ -33,6 +33,8 @@ LEAF = 32
 #: The most hashes kept as frequent: what is sent to the executors has at most 16 bytes for each.
 FREQUENT = 1 << 20
 LEAST_FREQUENT = 64
+#: So many pairs name at most twice as many documents, 16 MB of ids, which are broadcast.
+FEW = 1_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -300,6 +302,8 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
         pairs = checkpointed(pairs.distinct())
         named = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         one = rows.groupBy("set_id").agg(F.min("doc_id").alias("_id")).join(named, "set_id", "left_semi").select("_id")
+        if pairs.count() <= FEW:  # two ids for each pair at most: small enough to send; else texts are dealt by id
+            one = F.broadcast(one)
         # Only the sets in some pair are made again, from the text of one document each.
         sets = checkpointed(source.join(one, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(whole, "set_id long, hashes binary"))
         x = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fabulon.functions import text
 from fabulon.operators import speech
+from fabulon.operators.incremental import resolve_windows
 from fabulon.sources.adapters import table
 
 _LINE = "case when turn % 3 = 0 then '\"' || substr(text, 1, 40) || '\" said R' || role || '.' when turn % 3 = 1 then 'R' || role || ' asked, \"' || substr(text, 1, 30) || '\" It was late.' else 'He thought \"' || substr(text, 1, 20) || '\" and left.' end"
@@ -97,6 +98,13 @@ def gold_coverage(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg(F.col("toxic").cast("double")), 9).alias("share"))
 
 
+def resolve_incremental(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").filter("text is not null")
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    w = docs.select(F.col("doc_id").alias("group_id"), F.floor(F.col("doc_id") * 4 / (last + 1)).cast("long").alias("window"), text.terms(F.col("text")).alias("t"))
+    return resolve_windows(w.filter("size(t) > 0").select("group_id", "window", F.col("t")[0].alias("key"), F.slice("t", 1, 8).alias("terms")), 12.0, 4.0)
+
+
 def first_appearance(s: SparkSession, d: str) -> DataFrame:
     l = table(s, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min(F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey")).alias("first"))
     return l.withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("first", "l_suppkey")).cast("long")).filter("place <= 3").select("l_orderkey", "l_suppkey", "place")
@@ -130,4 +138,4 @@ SQL = {
     "gold_coverage": "SELECT quality, count(*) AS n, round(avg(CAST(toxic AS DOUBLE)), 9) AS share FROM labels GROUP BY 1",
     "first_appearance": "WITH l AS (SELECT l_orderkey, l_suppkey, min(CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) AS f FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY f, l_suppkey) AS place FROM l) SELECT l_orderkey, l_suppkey, place FROM r WHERE place <= 3",
 }
-QUERIES = {k: globals()[k] for k in (*SQL, "chunk_text")}
+QUERIES = {k: globals()[k] for k in (*SQL, "chunk_text", "resolve_incremental")}

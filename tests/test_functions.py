@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fabulon.functions import intervals as iv
 from fabulon.functions import names, text
 from fabulon.operators import log, mentions, resolve, sequence
+from fabulon.operators.incremental import resolve_windows
 
 INF = float("inf")
 
@@ -93,3 +94,14 @@ def test_empty_tables(spark):
     phrases = spark.createDataFrame([("a b",)], "phrase string")
     assert mentions.dictionary_match(docs, "doc_id", text.words(F.col("text")), phrases, 2).count() == 0
     assert resolve.bm25(resolve.postings(docs, "doc_id", text.terms(F.col("text"))), spark.createDataFrame([], "query long, term string")).count() == 0
+
+
+def test_incremental_resolver(spark):
+    rows = [
+        (1, 0, "klein", ["moretti", "detective", "gray"]), (2, 0, "audrey", ["hall", "noble", "golden"]),
+        (3, 1, "klein", ["other"]), (4, 1, "sherlock", ["moretti", "detective", "gray"]), (5, 1, "fors", ["writer"]), (6, 1, "fors", ["writer", "novel"]),
+    ]
+    groups = spark.createDataFrame(rows, "group_id long, window long, key string, terms array<string>")
+    got = {r.group_id: (r.entity, r.decision) for r in resolve_windows(groups, 1.5, 0.1).collect()}
+    assert got == {1: (1, "NEW"), 2: (2, "NEW"), 3: (1, "LINK"), 4: (1, "LINK"), 5: (5, "NEW"), 6: (5, "NEW")}
+    assert resolve_windows(groups.limit(0), 1.0, 0.5).count() == 0

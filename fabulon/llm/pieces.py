@@ -31,11 +31,11 @@ from fabulon.llm.common import Rolling, joined_bytes, slices
 
 SPACE = "▁"
 #: Chunks that a process keeps before it starts anew.
-CACHE = 800_000
+CACHE = 400_000
 #: Tokens decoded at once (a longer text is whole all the same).
-TOKENS = 1 << 19
+TOKENS = 1 << 18
 #: Bytes of text encoded at once.
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Chunks of so many characters have their agenda in a list, longer ones in a heap.
 SHORT = 48
 _NEVER = float("inf")

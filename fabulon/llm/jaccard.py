@@ -32,7 +32,6 @@ GROUPS = 256
 LEAF = 32
 #: The most hashes kept as frequent: what is sent to the executors has at most 16 bytes for each.
 FREQUENT = 1 << 20
-LEAST_FREQUENT = 64
 #: So many pairs name at most twice as many documents, 16 MB of ids, which are broadcast.
 FEW = 1_000_000
 
@@ -215,9 +214,15 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
     points = measured.filter("is_doc").groupBy(F.col("key").alias("set_id")).agg(F.min("n").alias("n"), F.min("point").alias("point"))
     rows = measured.filter("is_doc").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_id"))
     repeated = measured.filter("not is_doc").groupBy("key").agg(F.sum("n").alias("n"))
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    # At most total / least entries, that is FREQUENT; which hashes are in it changes the cost only, never the result.
-    kept = repeated.filter(F.col("n") >= max(LEAST_FREQUENT, total // FREQUENT)).toPandas()
+    # The most frequent ones, as many as FREQUENT allows; which hashes these are changes the cost only, never the result.
+    repeated = checkpointed(repeated)
+    least, left = 1 << 62, FREQUENT
+    for r in sorted(repeated.groupBy("n").agg(F.count("*").alias("c")).collect(), reverse=True):
+        left -= r.c
+        if left < 0:
+            break
+        least = r.n
+    kept = repeated.filter(F.col("n") >= least).toPandas()
     order = np.argsort(kept["key"].to_numpy(dtype=np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast((kept["key"].to_numpy(dtype=np.int64).view(np.uint64)[order], kept["n"].to_numpy(dtype=np.int64)[order]))
 

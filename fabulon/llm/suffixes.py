@@ -237,11 +237,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
             pos = (place & ((1 << _ORD) - 1)) + offsets[row]
             yield data, ids, place, pos, np.minimum(offsets[row + 1] - pos, length), np.minimum(pos - offsets[row], w)
 
-    def surround(batches):
+    def surround(batches, settled: bool):
+        """Occurrences with hashes of anchor and surroundings; or those settled because the slice has their surroundings before."""
         for data, ids, place, pos, rights, lefts in located(batches):
             hashes = Rolling(data)
             around = mixed(hashes.of(pos - lefts, pos + rights) + (lefts * 256 + rights).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.of(pos, pos + k).view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids), pa.array(place)], names=["key", "around", "doc", "place"])
+            first_ = np.zeros(len(pos), dtype=bool)
+            first_[np.unique(around, return_index=True)[1]] = True  # rows are in text order
+            if settled:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[~first_]), pa.array(place[~first_])], names=["doc", "place"])
+            else:
+                key = hashes.of(pos, pos + k).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key[first_]), pa.array(around.view(np.int64)[first_]), pa.array(ids[first_]), pa.array(place[first_])], names=["key", "around", "doc", "place"])
 
     def decide(batches):
         """Of each surroundings all but the first are settled; the first is sent on if its anchor has other surroundings."""
@@ -255,7 +262,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
             yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(keep)) for c in ("doc", "place")] + [pa.array(head[keep])], names=["doc", "place", "send"])
 
     kept = ("doc", "mark", "text", "carried", "found")
-    placed = source.join(by_doc, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").mapInArrow(surround, "key long, around long, doc long, place long")
+    read = source.join(by_doc, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark")
+    done = read.mapInArrow(lambda b: surround(b, True), "doc long, place long")
+    placed = read.mapInArrow(lambda b: surround(b, False), "key long, around long, doc long, place long")
     decided = placed.repartition(width, "key").sortWithinPartitions("key", "around", "doc", "place").mapInArrow(decide, "doc long, place long, send boolean")
     to_send = decided.filter("send").groupBy("doc").agg(F.collect_list("place").alias("found"))
 
@@ -295,41 +304,44 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
     blobs = source.join(to_send, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").mapInArrow(runs, "part int, " + ", ".join(f"{c} binary" for c in _BLOB))
     # Runs of a part come in no fixed order; ranks settle which occurrence is first, not run order.
     marks = blobs.repartition(width, "part").sortWithinPartitions("part").mapInArrow(combine, "doc long, place long, mask long")
-    marks = marks.unionByName(decided.filter("not send").select("doc", "place", F.lit(_ALL).cast("long").alias("mask")))
+    whole = decided.filter("not send").select("doc", "place").unionByName(done)
+    marks = marks.unionByName(whole.select("doc", "place", F.lit(_ALL).cast("long").alias("mask")))
     marked = marks.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("found"))
 
     def cut(batches):
         for b, order, _ in _numbered(batches, []):
-            out = []
-            for i, (doc, text, found) in enumerate(zip(b.column("doc").to_pylist(), b.column("text"), b.column("found").to_pylist(), strict=True)):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                removed = spans = 0
-                rest = raw
-                if found:
-                    step = np.zeros(len(raw) + 1, dtype=np.int32)
-                    for f in found:
-                        if f["place"] >> _ORD == order[i]:
-                            p, mask = f["place"] & ((1 << _ORD) - 1), f["mask"]
-                            if mask == _ALL:
-                                first_, last_ = max(0, p - w), min(p, len(raw) - length)
-                                if first_ <= last_:
-                                    step[first_] += 1
-                                    step[last_ + length] -= 1
-                                continue
-                            while mask:
-                                low = (mask & -mask).bit_length() - 1
-                                high = low + (~(mask >> low) & -(~(mask >> low))).bit_length() - 1  # bits low to high - 1 are set
-                                step[p - high + 1] += 1
-                                step[p - low + length] -= 1
-                                mask &= ~((1 << high) - 1)
-                    gone = np.cumsum(step)[:-1] > 0
-                    removed, spans = int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-                    rest = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-                row = (None if doc == NULL_ID else doc, len(raw), removed, spans, hashlib.sha256(rest).hexdigest())
-                out.append((*row, (rest.decode("utf-8", "replace") if text.is_valid else None)) if keep_text else row)
-            kinds = [pa.int64()] * 4 + [pa.string()] * (1 + keep_text)
-            arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, b.column("carried")], names=[*["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)], "carried"])
+            data, offsets = joined_bytes(b.column("text"))
+            lists = b.column("found")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            place, mask = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            own = place >> _ORD == order[row]
+            place, mask, row = place[own], mask[own], row[own]
+            pos, start, end = (place & ((1 << _ORD) - 1)) + offsets[row], offsets[row], offsets[row + 1]
+            step = np.zeros(len(data) + 1, dtype=np.int32)
+            all_ = mask == _ALL
+            low, high = np.maximum(start, pos - w)[all_], np.minimum(pos, end - length)[all_]
+            fits = low <= high
+            np.add.at(step, low[fits], 1)
+            np.add.at(step, high[fits] + length, -1)
+            pos, mask = pos[~all_], mask[~all_]
+            for back in range(w + 1):
+                at = pos[mask >> back & 1 > 0] - back
+                np.add.at(step, at, 1)
+                np.add.at(step, at + length, -1)
+            gone = np.cumsum(step[:-1]) > 0
+            head = gone & np.concatenate([[True], ~gone[:-1]])[: len(gone)]
+            edges = offsets[:-1][offsets[:-1] < len(gone)]
+            head[edges] = gone[edges]
+            removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, head))
+            removed, spans = np.diff(removed[offsets]), np.diff(spans[offsets])
+            rests = [data[x:z].tobytes() if r == 0 else data[x:z][~gone[x:z]].tobytes() for x, z, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist(), strict=True)]
+            ids = pc.if_else(pc.equal(b.column("doc"), NULL_ID), pa.scalar(None, pa.int64()), b.column("doc"))
+            arrays = [ids, pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in rests], pa.string())]
+            if keep_text:
+                texts = pa.array([x.decode("utf-8", "replace") for x in rests], pa.string())
+                arrays.append(pc.if_else(b.column("text").is_valid(), texts, pa.scalar(None, pa.string())))
+            yield pa.RecordBatch.from_arrays([*arrays, b.column("carried")], names=[*["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(arrays)], "carried"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
     schema = StructType([*StructType.fromDDL(schema).fields, source.schema["carried"]])

@@ -184,7 +184,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
     if not 0 < w < 63 or length > 255:
         raise ValueError("length - k must be 1 to 62, and length 255 at most")
     # One exchange of the texts, by id; the three passes below read the same shuffle files.
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"), F.struct(*carry or [F.lit(0).alias("_none")]).alias("carried")).repartition(width, "doc")
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"), *[F.struct(*carry).alias("carried")] * bool(carry)).repartition(width, "doc")
 
     def first(batches):
         for b, order, again in _numbered(batches, []):
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
             keep = ~head | several_
             yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(keep)) for c in ("doc", "place")] + [pa.array(head[keep])], names=["doc", "place", "send"])
 
-    kept = ("doc", "mark", "text", "carried", "found")
+    kept = ("doc", "mark", "text", *["carried"] * bool(carry), "found")
     read = source.join(by_doc, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark")
     done = read.mapInArrow(lambda b: surround(b, True), "doc long, place long")
     placed = read.mapInArrow(lambda b: surround(b, False), "key long, around long, doc long, place long")
@@ -341,10 +341,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
             if keep_text:
                 texts = pa.array([x.decode("utf-8", "replace") for x in rests], pa.string())
                 arrays.append(pc.if_else(b.column("text").is_valid(), texts, pa.scalar(None, pa.string())))
-            yield pa.RecordBatch.from_arrays([*arrays, b.column("carried")], names=[*["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(arrays)], "carried"])
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(arrays)]
+            if carry:
+                arrays, names = [*arrays, b.column("carried")], [*names, "carried"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
-    schema = StructType([*StructType.fromDDL(schema).fields, source.schema["carried"]])
+    schema = StructType([*StructType.fromDDL(schema).fields, *[f for f in source.schema if f.name == "carried"]])
     out = source.join(marked, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").mapInArrow(cut, schema)
     return out.select(*[c for c in out.columns if c != "carried"], *[F.col("carried")[c].alias(c) for c in carry])
 

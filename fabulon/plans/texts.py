@@ -221,7 +221,7 @@ _EVIDENCE = {"surface": "l_quantity / 50", "context": "l_discount * 10", "partne
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
-    l = table(s, d, "lineitem").filter("l_orderkey % 4 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.expr(f"cast({e} as double)").alias(k) for k, e in _EVIDENCE.items()])
+    l = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.expr(f"cast({e} as double)").alias(k) for k, e in _EVIDENCE.items()])
     verdict, confidence = resolve.prefilter((F.col("l_partkey") % 17 == 0).cast("double"), F.col("temporal"), (F.col("l_partkey") % 23 == 0).cast("double"), (F.col("l_suppkey") % 29 == 0).cast("double"), F.col("surface"))
     p = resolve.probability(resolve.raw_score({k: F.col(k) for k in _EVIDENCE}))
     return l.withColumn("verdict", verdict).withColumn("confidence", confidence).withColumn("probability", F.round(p, 9)).withColumn("candidate", F.col("l_suppkey")).withColumn("position", F.expr("l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey"))

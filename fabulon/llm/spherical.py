@@ -8,12 +8,14 @@ of one block whose score cannot be made up by the best of the other are dropped
 that share a filter (and a label) meet; their cosines are computed in double precision.
 
 Caps shrink as the table grows, so that the number of chance meetings for each vector stays the
-same, and each vector passes FILTERS of them on average: a pair at cosine 0.93 shares about half.
+same, and each vector passes FILTERS of each code on average. In smaller caps a pair at cosine 0.93
+shares fewer of them, so the number of codes grows with the table and misses stay as rare.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from math import ceil, log2
 from statistics import NormalDist
 
 import numpy as np
@@ -28,15 +30,17 @@ from fabulon.llm.graph import components
 
 #: Filters of one code that a vector passes on average.
 FILTERS = 12
-#: Independent product codes: how many filters a vector passes varies less over several small codes than over a large one.
-CODES = 4
+#: Independent product codes of a table of up to FEW vectors: how many filters a vector passes varies less over several small codes than over a large one.
+CODES, FEW = 4, 2000
+#: Codes more for each doubling beyond that.
+MORE = 0.4
 #: Vectors that pass one filter on average.
 MEETING = 32
 #: Vectors of one label and filter compared at once; more are cut into chunks, and every two chunks meet.
 CHUNK = 1024
 
 
-@lru_cache(maxsize=16)
+@lru_cache(maxsize=32)
 def code(dims: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Rotation, the codewords of both blocks, and the threshold, for a table of so many vectors."""
     share = min(0.2, MEETING / max(rows, 1))
@@ -47,9 +51,19 @@ def code(dims: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return turn, r.normal(size=(half, words)), r.normal(size=(dims - half, words)), NormalDist().inv_cdf(1 - share)
 
 
+def codes(rows: int) -> int:
+    """Codes for a table of so many vectors."""
+    return ceil(CODES + MORE * log2(max(rows, FEW) / FEW))
+
+
+def filter_type(rows: int) -> np.dtype:
+    """The least type that holds the number of every filter of all codes."""
+    return np.dtype("<i4" if codes(rows) * code(1, rows, 0)[1].shape[1] ** 2 < 1 << 31 else "<i8")
+
+
 def decode(unit: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) for all filters of all codes that each unit vector passes, ordered by row and filter."""
-    parts = [_decode(unit, rows, seed) for seed in range(CODES)]
+    parts = [_decode(unit, rows, seed) for seed in range(codes(rows))]
     size = code(unit.shape[1], rows, 0)[1].shape[1] ** 2
     row, own = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + i * size for i, p in enumerate(parts)])
     at = np.lexsort((own, row))
@@ -135,6 +149,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     sound = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = v.filter(sound & F.col("vec_id").isNotNull())
     rows = valid.count()
+    number = filter_type(rows)
     single = isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
     kind = "<f4" if single else "<f8"  # single components travel as they are; all arithmetic is in double
 
@@ -152,7 +167,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         for b, pick, x in by_length(batches):
             row, own = decode(unit(x), rows)
             ends = np.cumsum(np.bincount(row, minlength=len(x)))
-            lists = [p.tobytes() for p in np.split(own.astype(np.int32), ends[:-1])]
+            lists = [p.tobytes() for p in np.split(own.astype(number), ends[:-1])]
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(pick)), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(lists, pa.binary())], names=["vec_id", "raw", "filters"])
 
     def by_length(batches):
@@ -190,10 +205,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                 if low[s] == high[s]:
                     if not (x @ x.T >= least).sum() > e - s - 1:
                         continue
-                    f = [np.frombuffer(y, dtype=np.int32) for y in lists[s:e]]
+                    f = [np.frombuffer(y, dtype=number) for y in lists[s:e]]
                     counts, classes, hit = compare(x, None, f, None, int(here[s]), least)
                 elif 0 < cut < e - s:
-                    f = [np.frombuffer(y, dtype=np.int32) for y in lists[s:e]]
+                    f = [np.frombuffer(y, dtype=number) for y in lists[s:e]]
                     counts, classes, hit = compare(x[:cut], x[cut:], f[:cut], f[cut:], int(here[s]), least)
                 else:
                     continue

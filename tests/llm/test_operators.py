@@ -368,6 +368,19 @@ def test_toxicity_edges(spark):
     assert {r.score for r in toxicity.classify(docs(spark, EDGE), labels.limit(0)).collect()} == {0.0}
 
 
+def test_missed_pairs_stay_rare_as_the_table_grows():
+    r = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(r.normal(size=(2000, 64)))
+    b = r.normal(size=a.shape)
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * unit(b - (b * a).sum(axis=1, keepdims=True) * a)
+    for rows in (2_000, 20_000, 1_000_000):
+        (i, f), (j, g) = spherical.decode(a, rows), spherical.decode(b, rows)
+        met = np.unique(np.intersect1d(i << 40 | f, j << 40 | g) >> 40)
+        assert len(a) - len(met) <= 3
+    assert spherical.filter_type(1 << 20) == np.int32 and spherical.filter_type(1 << 31) == np.int64
+
+
 # -- pipeline ----------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,10 @@
 """A cleaning pipeline over documents: each stage works on all that the one before it kept.
 
 Language ID drops documents without a recognisable language, toxicity those flagged over their
-language's threshold, the n-gram join all but the smallest id of each group of near-duplicates,
-suffix dedup rewrites texts without repeated passages, and packing assigns the remaining
-documents to length buckets and token-budget batches.
+language's threshold, the n-gram join all but one row (of the smallest id) of each group of
+near-duplicates, suffix dedup rewrites texts without repeated passages, and packing assigns the remaining
+documents to length buckets and token-budget batches. Rows are judged one by one, so ids may be null
+or repeated; rows equal in all columns count once from the n-gram join on.
 """
 
 from __future__ import annotations
@@ -12,28 +13,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabulon.llm import jaccard, language, packing, suffixes, toxicity
+from fabulon.llm.common import once
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL can express neither the trained models nor the joins; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """The rows of docs whose id (null too) is in good."""
-    good = good.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi").select(*COLUMNS)
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs and a hash of all columns: it tells rows apart, whatever their ids, and rows that share it get equal results."""
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("mark"))
+
+
+def _kept(marked: DataFrame, good: DataFrame) -> DataFrame:
+    return marked.join(good.select("mark").distinct(), "mark", "left_semi")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, language.identify(docs).filter(F.col("lang_pred") != language.NONE))
+    marked = _marked(docs)
+    return _kept(marked, language.identify(marked, carry=("mark",)).filter(F.col("lang_pred") != language.NONE)).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter(~F.col("flagged")))
+    marked = _marked(docs)
+    judged = toxicity.classify(marked, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("mark",))
+    return _kept(marked, judged.filter(~F.col("flagged"))).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, jaccard.join_similar(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    marked = _marked(docs)
+    # Each task sends rows that are equal in all columns once, so that many of them do not meet.
+    kept = _kept(marked.mapInArrow(once, marked.schema), jaccard.one_of_each(marked, "mark"))
+    return kept.dropDuplicates(["mark"]).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of output that a generator of Arrow batches gathers before it hands a batch on.
 FLUSH_BYTES = 8 << 20
@@ -44,6 +45,24 @@ def spread_key(*cols: Column) -> Column:
     return F.xxhash64(F.lit(0x5EED), *cols)
 
 
+def along(docs: DataFrame, carry: tuple[str, ...]) -> list[Column]:
+    """The columns named in carry as one column "carried", or none."""
+    return [F.struct(*[docs[c] for c in carry]).alias("carried")] * bool(carry)
+
+
+def with_types(ddl: str, source: DataFrame, *names: str) -> StructType:
+    """The schema of ddl and the fields of source that are named."""
+    return StructType([*StructType.fromDDL(ddl).fields, *[source.schema[n] for n in names]])
+
+
+def once(batches):
+    """Of the rows of a task that have one mark the first."""
+    seen: set[int] = set()
+    for b in batches:
+        new = [m not in seen and not seen.add(m) for m in b.column("mark").to_pylist()]
+        yield b.filter(pa.array(new, pa.bool_()))
+
+
 class Batches:
     """Rows gathered into Arrow batches of bounded size."""
 

@@ -183,14 +183,15 @@ def all_pairs(points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, percen
                 yield w[x], rows[y]
 
 
-def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n_shingles, set_id) and (links: a, b set ids that are similar enough and enough to connect all such).
+def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text", mark_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, n_shingles, set_id, and mark if its column is named) and (links: a, b set ids that are similar enough and enough to connect all such).
 
     The links connect exactly the sets that a chain of similar pairs connects.
     """
     spark = docs.sparkSession
     width = partitions(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias("mark") for c in (mark_col,) if c])
+    mark = ["mark"] * bool(mark_col)
 
     def measure(batches):
         """A row for each document and, of each slice, the hashes that several documents hold."""
@@ -206,13 +207,13 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
                 n = len(ids) + len(h)
                 points = [(p.astype(np.uint8) if p.max() < 256 else p).tobytes() for p in count_vectors(flat, offsets)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([b.column("doc_id"), pa.nulls(len(h), pa.int64())]), pa.array(np.concatenate([sizes, c])), pa.array(np.concatenate([ids, h])), pa.array(np.arange(n) < len(ids)), pa.concat_arrays([pa.array(points, pa.binary()), pa.nulls(len(h), pa.binary())])],
-                    names=["doc_id", "n", "key", "is_doc", "point"],
+                    [pa.concat_arrays([b.column("doc_id"), pa.nulls(len(h), pa.int64())]), pa.array(np.concatenate([sizes, c])), pa.array(np.concatenate([ids, h])), pa.array(np.arange(n) < len(ids)), pa.concat_arrays([pa.array(points, pa.binary()), pa.nulls(len(h), pa.binary())]), *[pa.concat_arrays([b.column(m), pa.nulls(len(h), pa.int64())]) for m in mark]],
+                    names=["doc_id", "n", "key", "is_doc", "point", *mark],
                 )
 
-    measured = checkpointed(source.mapInArrow(measure, "doc_id long, n long, key long, is_doc boolean, point binary"))
+    measured = checkpointed(source.mapInArrow(measure, "doc_id long, n long, key long, is_doc boolean, point binary" + ", mark long" * bool(mark_col)))
     points = measured.filter("is_doc").groupBy(F.col("key").alias("set_id")).agg(F.min("n").alias("n"), F.min("point").alias("point"))
-    rows = measured.filter("is_doc").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_id"))
+    rows = measured.filter("is_doc").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_id"), *mark)
     repeated = measured.filter("not is_doc").groupBy("key").agg(F.sum("n").alias("n"))
     # The most frequent ones, as many as FREQUENT allows; which hashes these are changes the cost only, never the result.
     repeated = checkpointed(repeated)
@@ -341,3 +342,20 @@ def join_similar(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str
     smallest = named.groupBy("class").agg(F.min("least").alias("component_id"))
     by_set = named.join(smallest, "class").select("set_id", "component_id")
     return rows.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, mark_col: str, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """mark: the value of mark_col, a long that tells rows apart, of one row of each group that links connect.
+
+    It is the row of the smallest doc_id, null last, and of several rows of that id the one with
+    the smallest mark. An empty text is linked with nothing: one row of each id stays, and every
+    one without an id.
+    """
+    rows, links = links_and_sets(docs, percent, words, id_col, text_col, mark_col)
+    classes = components(links)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    full = rows.filter("set_id <> 0").groupBy("set_id").agg(F.min(order).alias("least"))
+    named = full.join(classes, full["set_id"] == classes["id"], "left").select("least", F.coalesce("component", "set_id").alias("class"))
+    first = named.groupBy("class").agg(F.min("least").alias("least")).select("least.mark")
+    empty = rows.filter("set_id = 0").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("mark")).alias("own")).agg(F.min("mark").alias("mark"))
+    return first.unionByName(empty.select("mark"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabulon.llm.common import held_out, slices, spread_key
+from fabulon.llm.common import along, held_out, slices, spread_key, with_types
 
 BLOCK = 1024
 NONE = "und"
@@ -176,8 +176,8 @@ def training_texts(docs: DataFrame, rows: int, chars: int, lang_col: str = "lang
     return tuple((k, v) for k, v in sorted(joined.items()) if v)
 
 
-def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 64, chars: int = 40_000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of docs.
+def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 64, chars: int = 40_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score (and the columns named in carry) for each row of docs.
 
     Learns from at most `rows` rows and `chars` letters for each value of lang_col in `train`
     (docs itself by default), never from held-out rows. A text that is null or has no letter is
@@ -191,7 +191,9 @@ def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc
         for batch in batches:
             for b in slices(batch, "text"):
                 langs, scores = model.classify(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *map(b.column, kept)], names=["doc_id", "held_out", "lang_pred", "score", *kept])
 
-    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows_.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), *along(docs, carry))
+    kept = ["carried"] * bool(carry)
+    out = rows_.mapInArrow(run, with_types("doc_id long, held_out boolean, lang_pred string, score double", rows_, *kept))
+    return out.select("*", *[F.col("carried")[c].alias(c) for c in carry]).drop("carried")

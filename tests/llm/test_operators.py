@@ -398,6 +398,28 @@ def test_pipeline(spark, sf_dir):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
+def test_pipeline_judges_rows_not_ids(spark, monkeypatch):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    made = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).repartition(3)
+    found = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    prose, other, third = ("".join(f"{w}{i} of the story " for i in range(40)) for w in ("river", "castle", "winter"))
+    letters = [(i, prose + str(i)) for i in range(20)]
+    rows = [*letters, (3, "12345"), (None, "777"), (None, other), (None, None)]
+    assert found(corpus_pipeline.keep_identified(spark, made(rows), "")) == sorted([*letters, (None, other)], key=str)
+    rows = [(1, prose), (1, prose), (None, prose + "end"), (2, prose), (None, other), (None, other), (None, other + "end"), (None, third), (5, third), (5, third), (6, None), (6, None), (None, "")]
+    kept = found(corpus_pipeline.one_of_each_group(spark, made(rows), ""))
+    alone = [x for x in kept if x[0] is None and x[1] in (other, other + "end")]
+    assert len(alone) == 1 and sorted([x for x in kept if x not in alone], key=str) == sorted([(1, prose), (5, third), (6, None), (None, "")], key=str)
+
+    def flags(docs, labels, **kw):
+        return docs.withColumn("flagged", F.col("text") == other)
+
+    monkeypatch.setattr(corpus_pipeline.toxicity, "classify", flags)
+    assert found(corpus_pipeline.drop_toxic(spark, made([(None, prose), (None, other), (1, other), (1, third)]), "/root/testdata/sf0.001")) == sorted([(None, prose), (1, third)], key=str)
+
+
 def test_license_sql(spark, sf_dir):
     import duckdb
 

@@ -47,7 +47,7 @@ def scene_sessions(s: SparkSession, d: str) -> DataFrame:
 
 
 def suspected_splits(s: SparkSession, d: str) -> DataFrame:
-    return speech.suspected_splits(table(s, d, "part").filter("p_partkey <= 400"), "p_name")
+    return speech.suspected_splits(table(s, d, "part"), "p_name")
 
 
 def parentheticals(s: SparkSession, d: str) -> DataFrame:

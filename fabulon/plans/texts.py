@@ -133,7 +133,7 @@ def antecedent_asof(s: SparkSession, d: str) -> DataFrame:
 
 
 def cooccurrence_block(s: SparkSession, d: str) -> DataFrame:
-    l = table(s, d, "lineitem").filter("l_suppkey <= 60")
+    l = table(s, d, "lineitem")
     return mentions.co_occurrence(l.select(F.col("l_orderkey").alias("block"), F.col("l_suppkey").alias("target")), ["block"], "target")
 
 

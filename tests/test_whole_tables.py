@@ -1,10 +1,9 @@
 """Queries that read whole tables and whole texts, against brute force on small tables."""
 
 import math
+from itertools import combinations
 
-from fabulon.plans import texts
-
-_SF = "/root/testdata/sf0.001"
+from fabulon.plans import speeches, texts
 
 
 def _written(spark, folder, **tables):
@@ -54,3 +53,26 @@ def test_candidates_of_every_order(spark, tmp_path):
         decision = "LINK" if forced else "NEW" if best <= 0.3 else "LINK" if best >= 0.75 and not tie else "DEFER"
         want[o] = decision, forced[0][1] if forced else allowed[0][2] if best > 0.3 else None, len(allowed)
     assert {r.l_orderkey: (r.decision, r.candidate, r.n_allowed) for r in texts.gate(spark, d).collect()} == want
+
+
+# -- co-occurrence and spellings ---------------------------------------------------------------------
+
+
+def test_co_occurrence_of_every_supplier(spark, tmp_path):
+    rows = [(o, n, 1, (o % 7 * 40 + n * 33) % 260 + 1, 1.0, 0.0, 0.0) for o in range(1, 60) for n in range(1, 5)]
+    shared = {}
+    for o in range(1, 60):
+        for pair in combinations(sorted({r[3] for r in rows if r[0] == o}), 2):
+            shared.setdefault(pair, []).append(o)
+    want = {(*p, len(x), min(x)) for p, x in shared.items() if len(x) > 1}
+    assert any(a > 60 for a, *_ in want)
+    got = texts.cooccurrence_block(spark, _written(spark, tmp_path, lineitem=(rows, _LINEITEM))).select("a", "b", "weight", "first")
+    assert set(map(tuple, got.collect())) == want
+
+
+def test_spellings_of_every_part(spark, tmp_path):
+    rows = [(i, f"{'red' if i % 2 else 'pale blue'} {'tin' if i < 400 else 'brass'} {'lamp' if i % 3 else 'cup'}") for i in range(390, 420)]
+    spelled = sorted({n for _, n in rows})
+    want = {(a, b, a.split()[-1]) for a, b in combinations(spelled, 2) if a.split()[-1] == b.split()[-1] and abs(len(a) - len(b)) <= 12}
+    got = speeches.suspected_splits(spark, _written(spark, tmp_path, part=(rows, "p_partkey long, p_name string"))).select("a", "b", "head")
+    assert set(map(tuple, got.collect())) == want and any("brass" in a for a, *_ in want)

@@ -76,3 +76,38 @@ def test_spellings_of_every_part(spark, tmp_path):
     want = {(a, b, a.split()[-1]) for a, b in combinations(spelled, 2) if a.split()[-1] == b.split()[-1] and abs(len(a) - len(b)) <= 12}
     got = speeches.suspected_splits(spark, _written(spark, tmp_path, part=(rows, "p_partkey long, p_name string"))).select("a", "b", "head")
     assert set(map(tuple, got.collect())) == want and any("brass" in a for a, *_ in want)
+
+
+# -- all terms of a text -----------------------------------------------------------------------------
+
+_DOCS = "doc_id long, text string"
+
+
+def _many(stem, n):
+    return " ".join(f"{stem}{i}x" for i in range(n))
+
+
+def test_queries_of_every_term(spark, tmp_path):
+    texts_ = [(1, _many("river", 14)), (2, _many("castle", 9)), (3, "riverbank " + _many("castle", 5)), (4, None)]
+    asked = [(7, _many("river", 13) + " " + _many("castle", 6)), (8, _many("nothing", 20))]
+    d = _written(spark, tmp_path, documents=(texts_, _DOCS), benchmark=(asked, "item_id long, text string"))
+    words = {i: t.split() for i, t in texts_ if t}
+    mean, want = sum(map(len, words.values())) / len(words), []
+    for q, t in asked:
+        for i, own in words.items():
+            total = 0.0
+            for w in t.split():
+                df = sum(w in o for o in words.values())
+                tf = own.count(w)
+                total += math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own) / mean))
+            if total:
+                want.append((q, i, total))
+    got = {(r.query, r.id): r.score for r in texts.bm25_topk(spark, d).collect()}
+    assert got.keys() == {(q, i) for q, i, _ in want} and all(abs(got[q, i] - s) < 2e-6 for q, i, s in want)
+
+
+def test_profiles_of_every_term(spark, tmp_path):
+    late = _many("harbour", 30)
+    rows = [(0, "alpha " + _many("first", 9) + " " + late), (1, "beta " + _many("second", 30)), (2, "gamma " + _many("third", 30)), (9, "delta " + _many("fourth", 9) + " " + late)]
+    got = {r.group_id: (r.entity, r.decision) for r in speeches.resolve_incremental(spark, _written(spark, tmp_path, documents=(rows, _DOCS))).collect()}
+    assert got == {0: (0, "NEW"), 1: (1, "NEW"), 2: (2, "NEW"), 9: (0, "LINK")}

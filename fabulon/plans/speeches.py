@@ -12,9 +12,12 @@ from fabulon.sources.adapters import table
 
 _LINE = "case when turn % 3 = 0 then '\"' || substr(text, 1, 40) || '\" said R' || role || '.' when turn % 3 = 1 then 'R' || role || ' asked, \"' || substr(text, 1, 30) || '\" It was late.' else 'He thought \"' || substr(text, 1, 20) || '\" and left.' end"
 
+#: The lines as the queries read them, whole; _LINE is the SQL's.
+_WHOLE = "case when turn % 3 = 0 then '\"' || text || '\" said R' || role || '.' when turn % 3 = 1 then 'R' || role || ' asked, \"' || text || '\" It was late.' else 'He thought \"' || text || '\" and left.' end"
+
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "conversations").select("conv_id", "turn", "role", F.expr(_LINE).alias("text"))
+    return table(s, d, "conversations").select("conv_id", "turn", "role", F.expr(_WHOLE).alias("text"))
 
 
 def quote_spans(s: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Queries that read whole tables and whole texts, against brute force on small tables."""
 
 import math
+import re
 from itertools import combinations
 
+from fabulon.operators import speech
 from fabulon.plans import speeches, texts
 
 
@@ -111,3 +113,36 @@ def test_profiles_of_every_term(spark, tmp_path):
     rows = [(0, "alpha " + _many("first", 9) + " " + late), (1, "beta " + _many("second", 30)), (2, "gamma " + _many("third", 30)), (9, "delta " + _many("fourth", 9) + " " + late)]
     got = {r.group_id: (r.entity, r.decision) for r in speeches.resolve_incremental(spark, _written(spark, tmp_path, documents=(rows, _DOCS))).collect()}
     assert got == {0: (0, "NEW"), 1: (1, "NEW"), 2: (2, "NEW"), 9: (0, "LINK")}
+
+
+# -- whole turns -------------------------------------------------------------------------------------
+
+
+def test_spans_of_whole_turns(spark, tmp_path):
+    long = "She went down to the river and waited there for a long time. " * 3
+    said = [long, long + 'Then "wait" was all they said.', "short", long + "“Curly” Anna said, and it was late.", long + 'He mused "no" again.']
+    rows = [(c, n, "user", said[(c + n) % 5]) for c in range(5) for n in range(4)]
+    shape = ('"{}" said R{}.', 'R{1} asked, "{0}" It was late.', 'He thought "{}" and left.')
+    spans, kinds, speakers = [], {}, []
+    for c, n, role, t in rows:
+        line = shape[n % 3].format(t, role)
+        parts = re.findall('"[^"]*"|“[^”]*”|[^"“]+|["“]', line)
+        at = 0
+        for i, p in enumerate(parts):
+            quoted = len(p) > 1 and p[0] in '"“' and p[-1] in '"”'
+            spans.append((c, n, i, p, quoted, at, at + len(p)))
+            at += len(p)
+            before, after = parts[i - 1] if i else "", parts[i + 1] if i + 1 < len(parts) else ""
+            thought = re.search(rf"(?i)\b({speech.THOUGHT})\b", before[-80:] + " " + after[:80])
+            kind = "INNER_MONOLOGUE" if quoted and thought else "DIALOGUE" if quoted else "DESCRIPTION" if re.search(r"(?i)\b(is|are|was|were|had)\b", p) else "ACTION"
+            kinds[kind] = kinds.get(kind, 0) + 1
+            if quoted:
+                name = next((m[1] for m in (re.search(rf"^[\s,.]*(?:{speech.SAID})\s+([A-Z][\w#-]*)", after), re.search(rf"^[\s,.]*([A-Z][\w#-]*)\s+(?:{speech.SAID})\b", after), re.search(rf"([A-Z][\w#-]*)\s+(?:{speech.SAID})[\s,:]*$", before)) if m), None)
+                pov = "POV" if re.search(rf"(?i)\b({speech.THOUGHT})\b", before) else None
+                speakers.append((c, n, name or pov, "EXPLICIT" if name else pov or "UNRESOLVED"))
+    d = _written(spark, tmp_path, conversations=(rows, "conv_id long, turn long, role string, text string"))
+    got = speeches.quote_spans(spark, d).select("conv_id", "turn", "n", "text", "quoted", "start", "end")
+    assert sorted(map(tuple, got.collect())) == sorted(spans) and any(len(s[3]) > 100 for s in spans)
+    assert {r.span_type: r.n_spans for r in speeches.span_types(spark, d).collect()} == kinds
+    got = speeches.speaker_ladder(spark, d).select("conv_id", "turn", "speaker", "method")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(speakers, key=str)

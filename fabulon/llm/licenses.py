@@ -3,7 +3,7 @@
 A text is normalised (case, copyright lines, equivalent spellings, punctuation, white space) and
 its SHA-256 looked up among the digests of known licence texts, normalised alike. Only built-in
 functions run on documents; every pattern means the same to Java's and RE2's engines, so the
-query has an SQL form.
+query has an SQL form (which strips more lines as notices and knows KNOWN alone).
 """
 
 from __future__ import annotations
@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 #: Steps of the normalisation in order: (pattern, replacement). Input is lower case.
 STEPS = (
     ("[‘’“”\"'`«»]+", ""),  # quotation marks
-    ("(^|\n)[ \t*#/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\n]*", "\n"),  # copyright lines
+    (
+        "(?m)^[ \t*#/;-]*((copyright[ \t:]*(\\(c\\)|©|[\\[<{]?([0-9]{4}|year|yyyy))|copyright by |©|\\(c\\)[ \t]*[0-9]{4})[^\n]*"
+        "|copyright( [^ \n]+){1,5} (authors|contributors|developers|foundation|project|team|inc|llc|ltd)[ \t.]*|all rights reserved[ \t.]*)$",
+        "\n",
+    ),  # notices, not lines of prose that wrapping starts with these words
     ("https?://", ""),
     ("&", " and "),
     ("\\b(licence)", "license"),
@@ -23,10 +27,13 @@ STEPS = (
     ("\\b(favour)", "favor"),
     ("\\b(organis)", "organiz"),
     ("\\b(merchantib)", "merchantab"),
-    ("\\b(version |v\\.? ?)([0-9])", "version $2"),
+    ("\\b(version |v\\.?[ \t\n]*)([0-9])", "version $2"),
     ("[^a-z0-9à-ɏ]+", " "),  # punctuation, bullets and white space
 )
 
+#: The SQL's steps: it takes any line that begins like a notice, and "v." and its number on one line only.
+_SQL_STEPS = (STEPS[0], ("(^|\n)[ \t*#/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\n]*", "\n"), *STEPS[2:10], ("\\b(version |v\\.? ?)([0-9])", "version $2"), *STEPS[11:])
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -48,6 +55,14 @@ http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{names}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+
 #: Known licence texts and notices: fixed values from the public licences.
 KNOWN = {
     "0BSD": _ISC.format(kept="."),
@@ -62,6 +77,26 @@ KNOWN = {
     "Zlib": _ZLIB,
 }
 
+#: More texts, which the SQL does not know.
+FULL = {"BSD-2-Clause": _BSD.format(names=""), "BSD-3-Clause": _BSD.format(names=_NAMES)}
+#: Digests of whole licences (the files of /usr/share/common-licenses, notices and appendices included).
+DIGESTS = {
+    "Apache-2.0": "2b05caf1be32f3ec76310918bef57fbcf0ef442ba1569e72494a754885873254",
+    "Artistic-1.0-Perl": "e8b78262a838b2b19fcf6d45caae5ba4d7f93e5ed04dfe3c29f9d73d2c7a4e45",
+    "BSD-3-Clause Regents": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    "CC0-1.0": "42e5c3e2dc951231f2f015709c4dce5e7c7b5cec0527b379b23e49bfafea1472",
+    "GFDL-1.2": "3297b97ff6589a48f16176bb6a822884cf4f9193b51eb7cc46fa73fbda9d2249",
+    "GFDL-1.3": "1e3a0e25ffeabb24a8c86c75d0149e428e525f494e2fe77daecbbd2d4b89103c",
+    "GPL-1.0": "6a989e9e3800b7bc5300e632e9306911e14a7f4e0fddaae76ec5fb86a5b72225",
+    "GPL-2.0": "852dfae4a45171f05a0954d9a132503513f97774e4fddc650064b0262b771170",
+    "GPL-3.0": "20eb1f1a827f1427b349a911c6469e73ec0a37bef1069056ff07ce1f6803a946",
+    "LGPL-2.0": "e6b557c836da67fa721172bd7f54e0cad02c6ffe1621ad4fd1d2823a1ed0cd29",
+    "LGPL-2.1": "73f8771023a7bd97f99604cee25be5ea96b506e8a15023953726f00bcf5e8cf9",
+    "LGPL-3.0": "91b5d3e9e307d305f7c91670699dcefa38a95bc0127f171027869fadcae9f986",
+    "MPL-1.1": "ee33d6ea9be1711475c83a2f2c6a256c0eb791afe9f754638c0fc4ce0fafa111",
+    "MPL-2.0": "e02c8531cfcb54c24d7713d3294c0f466e41c87210e8b8eca8d813d1f4056a23",
+}
+
 
 def canonical(text: Column) -> Column:
     """A text normalised; null reads as empty."""
@@ -79,9 +114,10 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "do
     other columns are not read, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    table = spark.createDataFrame(sorted((KNOWN if known is None else known).items()), "license_id string, known_text string")
+    table = spark.createDataFrame(sorted((KNOWN | FULL if known is None else known).items()), "license_id string, known_text string")
+    whole = spark.createDataFrame(sorted(DIGESTS.items()) if known is None else [], "license_id string, canonical_sha256 string")
     # One row for each known licence: as small as the list given, whatever the corpus.
-    digests = table.select("license_id", F.sha2(canonical(F.col("known_text")), 256).alias("canonical_sha256")).filter(F.col("canonical_sha256") != F.sha2(F.lit(""), 256)).groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
+    digests = table.select("license_id", F.sha2(canonical(F.col("known_text")), 256).alias("canonical_sha256")).unionByName(whole).filter(F.col("canonical_sha256") != F.sha2(F.lit(""), 256)).groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
     rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("_c"))
     rows = rows.select("doc_id", F.sha2("_c", 256).alias("canonical_sha256"), F.length("_c").cast("long").alias("canonical_chars"))
     return rows.join(F.broadcast(digests), "canonical_sha256", "left").select("doc_id", "canonical_sha256", "canonical_chars", "license_id")
@@ -95,7 +131,7 @@ def scan_sql(known: dict[str, str] | None = None) -> str:
 
     def form(column: str) -> str:
         out = f"lower(coalesce({column}, ''))"
-        for pattern, to in STEPS:
+        for pattern, to in _SQL_STEPS:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('$2', chr(92) + '2'))}, 'g')"
         return f"trim({out})"
 

@@ -34,6 +34,27 @@ def test_license_scan(spark):
     assert got[1] is got[2] is got[5] is None and licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_whole_licenses_wrapped_anew(spark):
+    import textwrap
+
+    paragraphs = lambda text, width: "\n\n".join(p if re.search(r"copyright (\(c\)|\[yyyy)", p.lower()) else textwrap.fill(p, width, break_on_hyphens=False, break_long_words=False) for p in re.split(r"\n\s*\n", text))
+    files = {"Apache-2.0": "Apache-2.0", "BSD-3-Clause Regents": "BSD", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    texts = {}
+    for name, file in files.items():
+        with open(f"/usr/share/common-licenses/{file}", encoding="utf-8") as f:
+            texts[name] = f.read()
+    texts |= {k: licenses.KNOWN[k] for k in ("ISC", "MIT", "0BSD")} | licenses.FULL
+    notices = "Copyright (c) 2011-2020, Someone\nCopyright The Foo Authors.\n© 2020 Someone\nAll rights reserved.\n\n"
+    rows, want = [], {}
+    for name, text in texts.items():
+        for shown in (text, notices + text, *(paragraphs(text, w) for w in range(40, 100, 3))):
+            want[len(rows)] = name
+            rows.append((len(rows), shown))
+    rows.append((len(rows), licenses.KNOWN["ISC"].replace("the above copyright", "the above\ncopyright")))
+    want[len(want)] = "ISC"
+    assert {r.doc_id: r.license_id for r in licenses.scan(docs(spark, rows)).collect()} == want
+
+
 # -- chat ------------------------------------------------------------------------------------------
 
 

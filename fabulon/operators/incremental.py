@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabulon.operators.resolve import bm25
+from fabulon.session import cut
 
 ATTEMPTS = 3
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df without lineage, through the shared checkpoint folder of the session."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def resolve_windows(groups: DataFrame, link: float, new: float) -> DataFrame:
     """(group_id, entity, decision, window) for groups (group_id, window, key, terms).
 
@@ -45,12 +36,12 @@ def resolve_windows(groups: DataFrame, link: float, new: float) -> DataFrame:
         last = F.lit(i == len(numbers) - 1) | (F.col("attempts") >= ATTEMPTS - 1)
         judged = judged.withColumn("decision", F.when(F.col("exact").isNotNull() | (F.col("score") >= link), "LINK").when((F.coalesce("score", F.lit(0.0)) > new) & ~last, "DEFER").otherwise("NEW"))
         founder = F.min(F.when(F.col("decision") == "NEW", F.col("group_id"))).over(Window.partitionBy("key"))
-        judged = _cut(judged.withColumn("entity", F.when(F.col("decision") == "LINK", F.coalesce("exact", "near")).when(F.col("decision") == "NEW", founder)))
+        judged = cut(judged.withColumn("entity", F.when(F.col("decision") == "LINK", F.coalesce("exact", "near")).when(F.col("decision") == "NEW", founder)))
         settled = judged.filter("decision <> 'DEFER'")
         rows = settled.select("group_id", "entity", "decision", F.lit(number).alias("window"))
         done = rows if done is None else done.unionByName(rows)
         waiting = judged.filter("decision = 'DEFER'").select(*groups.columns, (F.col("attempts") + 1).alias("attempts"))
-        keys = _cut(keys.unionByName(settled.select("key", "entity")).groupBy("key").agg(F.min("entity").alias("entity")))
+        keys = cut(keys.unionByName(settled.select("key", "entity")).groupBy("key").agg(F.min("entity").alias("entity")))
         grown = settled.select(F.col("entity").alias("id"), F.explode("terms").alias("term")).withColumn("tf", F.lit(1).cast("long"))
-        terms = _cut(terms.unionByName(grown).groupBy("id", "term").agg(F.sum("tf").alias("tf")))
+        terms = cut(terms.unionByName(grown).groupBy("id", "term").agg(F.sum("tf").alias("tf")))
     return done if done is not None else groups.select("group_id", F.lit(None).cast("long").alias("entity"), F.lit("").alias("decision"), "window").limit(0)

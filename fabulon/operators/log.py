@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabulon.session import cut
+
 
 def replay(events: DataFrame, up_to: int) -> DataFrame:
     """The fold of the log to a position: for each id and type the last value, its seq, and how many events there were."""
@@ -43,13 +45,26 @@ def read_set_digest(reads: DataFrame) -> DataFrame:
 def redirect_roots(merges: DataFrame) -> DataFrame:
     """from_id, root: each merge followed to where it ends, by pointer jumping (a chain of n takes log n joins).
 
-    Ids on a cycle, and those that lead to one, end at the cycle's smallest id.
+    Ids on a cycle, and those that lead to one, end at the cycle's smallest id. After k rounds each id
+    has seen the 2 ** k ids that follow it and carries the least of them; when all ids that still
+    move have gone round (as many steps as there are merges), the least one seen by the id they
+    stand at is their cycle's. Of several merges of one id the least target counts. Every round is
+    cut from its lineage by a checkpoint in the session's shared folder.
     """
-    now, rounds = merges.select("from_id", F.col("to_id").alias("root")), 0
-    while True:
-        hop = now.select(F.col("from_id").alias("root"), F.col("root").alias("_next"))
-        jumped = now.join(hop, "root", "left").select("from_id", F.coalesce("_next", "root").alias("root"), (F.col("_next").isNotNull() & (F.col("_next") != F.col("root"))).alias("moved"))
-        rounds += 1
-        now = jumped.select("from_id", "root")
-        if rounds >= 40 or not jumped.filter("moved").limit(1).count():
-            return now
+    edges = merges.filter("from_id is not null and to_id is not null").groupBy("from_id").agg(F.min("to_id").alias("to_id"))
+    now = cut(edges.select("from_id", F.col("to_id").alias("at"), F.col("to_id").alias("least")))
+    steps, n = 1, now.count()
+    while steps < n + 1:
+        hop = now.select(F.col("from_id").alias("at"), F.col("at").alias("_next"), F.col("least").alias("_least"))
+        now = cut(now.join(hop, "at", "left").select("from_id", F.coalesce("_next", "at").alias("at"), F.least("least", F.coalesce("_least", "least")).alias("least"), F.col("_next").isNotNull().alias("moved")))
+        steps *= 2
+        if not now.filter("moved").limit(1).count():
+            break
+        now = now.drop("moved")
+    on = now.select(F.col("from_id").alias("at"), F.col("least").alias("_cycle"))
+    return now.join(on, "at", "left").select("from_id", F.coalesce("_cycle", "at").alias("root"))
+
+
+def invalid_sequence(log: DataFrame, seq: str = "seq") -> DataFrame:
+    """Sequence numbers that a log holds more than once: none may."""
+    return log.groupBy(seq).agg(F.count("*").alias("n")).filter("n > 1")

@@ -27,7 +27,7 @@ def interval_contains(s: SparkSession, d: str) -> DataFrame:
 
 
 def interval_overlaps(s: SparkSession, d: str) -> DataFrame:
-    f = event_facts(s, d).filter("key = 'purchase'").select("seq", "target_id", *iv.FIELDS)
+    f = event_facts(s, d).select("seq", "target_id", *iv.FIELDS)
     g = f.select("target_id", F.col("seq").alias("other"), *[F.col(c).alias("o_" + c) for c in iv.FIELDS])
     return f.join(g, "target_id").filter("seq < other").groupBy(iv.overlaps(iv.columns(), iv.columns("o_")).alias("certainty")).agg(F.count("*").alias("n_pairs"))
 
@@ -66,9 +66,23 @@ def state_of_certain_only(s: SparkSession, d: str) -> DataFrame:
 
 
 def state_of_voided(s: SparkSession, d: str) -> DataFrame:
-    voided = s.createDataFrame([("loop",)], "timeline_id string")
-    facts = event_facts(s, d)
-    return facts.join(voided, "timeline_id", "left_anti").groupBy("timeline_id").agg(F.count("*").alias("n_facts"), F.min("seq").alias("first_seq"))
+    voided = state.voided_timelines(s.createDataFrame([("loop", "VOIDED"), ("loop", "CANONICAL"), ("dream", "CANONICAL")], "timeline_id string, canonicity string"))
+    each = [state.state_of_attributes(requests(s, d), event_facts(s, d), timeline=t, voided=voided).withColumn("timeline_id", F.lit(t)) for t in ("dream", "loop")]
+    return each[0].unionByName(each[1])
+
+
+def _relations(s: SparkSession, d: str) -> DataFrame:
+    return event_facts(s, d).withColumn("type", F.col("key")).withColumn("dst_self", F.concat(F.lit("s"), (F.col("seq") % 50).cast("string")))
+
+
+def state_of(s: SparkSession, d: str) -> DataFrame:
+    out = state.state_of(requests(s, d), _aliases(s, d), event_facts(s, d), _relations(s, d), _bodies(s, d), novel_id="n")
+    pairs = F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(F.round(e["value"].cast("double"), 6).cast("decimal(20,6)").cast("string"), F.lit("null")))))
+    return out.select(
+        "target_id", "position", "observer", F.array_join("aliases", "|").alias("aliases"), F.array_join(pairs, "|").alias("attributes"),
+        F.array_join(F.transform("relationships", lambda r: F.concat(r["type"], F.lit(">"), r["dst_self"])), "|").alias("relationships"),
+        F.array_join("persona_ids", "|").alias("persona_ids"), "certainty", F.sha2(F.array_join("read_set", "\n"), 256).alias("read_set_hash"), F.size("read_set").cast("long").alias("n_read"),
+    )
 
 
 def state_of_retracted(s: SparkSession, d: str) -> DataFrame:
@@ -110,10 +124,7 @@ def concurrent_personas(s: SparkSession, d: str) -> DataFrame:
 
 
 def relations_at(s: SparkSession, d: str) -> DataFrame:
-    o = table(s, d, "orders").select(F.col("o_custkey").alias("src"), "o_orderkey", "o_orderdate")
-    l = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("dst"), "l_shipdate", "l_returnflag")
-    pairs = o.join(l, "o_orderkey").groupBy("src", "dst").agg(F.min("o_orderdate").alias("since"), F.max("l_shipdate").alias("until"), F.max(F.struct("l_shipdate", "l_returnflag"))["l_returnflag"].alias("type"))
-    return pairs.filter("since <= timestamp_ntz'1996-06-01 00:00:00' and until > timestamp_ntz'1996-06-01 00:00:00'").select("src", "dst", "type")
+    return state.relations_of(requests(s, d), _relations(s, d))
 
 
 def event_replay_upto(s: SparkSession, d: str) -> DataFrame:
@@ -145,8 +156,12 @@ def open_intervals(s: SparkSession, d: str) -> DataFrame:
 
 
 def redirect_roots(s: SparkSession, d: str) -> DataFrame:
-    merges = table(s, d, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("from_id"), (F.col("c_custkey") - 1).alias("to_id"))
-    return log.redirect_roots(merges)
+    """Chains of up to four merges, and cycles of three that others lead into."""
+    c = table(s, d, "customer").select("c_custkey")
+    chains = c.filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("from_id"), (F.col("c_custkey") - 1).alias("to_id"))
+    k = (F.col("c_custkey") * 4 + 10_000_000).alias("k")
+    rings = c.select(k).select(F.explode(F.array(*[F.struct((F.col("k") + i).alias("from_id"), (F.col("k") + j).alias("to_id")) for i, j in ((0, 2), (2, 1), (1, 0), (3, 1))])).alias("e")).select("e.*")
+    return log.redirect_roots(chains.unionByName(rings))
 
 
 def voided_semijoin(s: SparkSession, d: str) -> DataFrame:
@@ -173,7 +188,7 @@ _S = "SELECT target_id, position, observer"
 SQL = {
     "interval_contains": f"{WITH_FACTS} SELECT seq, {_CONTAINS.format(p='300.0')} AS certainty, to_ub = 'infinity'::DOUBLE AS is_open, from_lb = from_ub AS start_known, to_lb = to_ub AS end_known FROM facts",
     "interval_overlaps": f"""{WITH_FACTS} SELECT CASE WHEN a.to_ub <= b.from_lb OR b.to_ub <= a.from_lb THEN 'EXCLUDED' WHEN a.from_ub < b.to_lb AND b.from_ub < a.to_lb THEN 'CERTAIN' ELSE 'PLAUSIBLE' END AS certainty, count(*) AS n_pairs
-        FROM facts a JOIN facts b ON a.target_id = b.target_id AND a.seq < b.seq WHERE a."key" = 'purchase' AND b."key" = 'purchase' GROUP BY 1""",
+        FROM facts a JOIN facts b ON a.target_id = b.target_id AND a.seq < b.seq GROUP BY 1""",
     "interval_conjunction": f"""{WITH_FACTS}, c AS (SELECT target_id, "key", {_CONTAINS.format(p='300.0')} AS c FROM facts), m AS (SELECT target_id, "key", min({_RANK.format(c='c')}) AS r FROM c GROUP BY 1, 2)
         SELECT target_id, "key", {_NAME.format(r='r')} AS certainty FROM m""",
     "interval_close": f"{WITH_FACTS} SELECT seq, from_lb, from_ub, 400.0::DOUBLE AS to_lb, 410.0::DOUBLE AS to_ub, from_lb <= from_ub AND 410.0 >= from_lb AS valid FROM facts",
@@ -183,9 +198,19 @@ SQL = {
         '-infinity'::DOUBLE AS before_from_lb, from_lb AS before_from_ub, from_lb AS before_to_lb, 'infinity'::DOUBLE AS before_to_ub,
         '-infinity'::DOUBLE AS all_from_lb, '-infinity'::DOUBLE AS all_from_ub, 'infinity'::DOUBLE AS all_to_lb, 'infinity'::DOUBLE AS all_to_ub FROM facts""",
     "state_of_attributes": f"""{WITH_SEEN} {_S}, "key", arg_max(value, learned * 10000000000::HUGEINT + seq) AS value, arg_max(certainty, learned * 10000000000::HUGEINT + seq) AS certainty, count(*) AS n_facts FROM seen GROUP BY ALL""",
-    "state_of_certainty": f"{WITH_SEEN}, m AS ({_S}, min({_RANK.format(c='certainty')}) AS r, count(*) AS n_facts FROM seen GROUP BY ALL) {_S}, {_NAME.format(r='r')} AS certainty, n_facts FROM m",
+    "state_of_certainty": f"{WITH_SEEN}, m AS ({_S}, min({_RANK.format(c='certainty')}) AS r, count(*) AS n FROM seen GROUP BY ALL) {_S}, {_NAME.format(r='coalesce(r, 2)')} AS certainty, coalesce(n, 0) AS n_facts FROM requests LEFT JOIN m USING (target_id, position, observer)",
     "state_of_certain_only": f"""{WITH_SEEN} {_S}, "key", arg_max(value, learned * 10000000000::HUGEINT + seq) AS value, arg_max(certainty, learned * 10000000000::HUGEINT + seq) AS certainty, count(*) AS n_facts FROM seen WHERE certainty = 'CERTAIN' GROUP BY ALL""",
-    "state_of_voided": f"{WITH_FACTS} SELECT timeline_id, count(*) AS n_facts, min(seq) AS first_seq FROM facts WHERE timeline_id NOT IN ('loop') GROUP BY 1",
+    "state_of_voided": f"""{WITH_SEEN.replace("f.timeline_id = 'main'", "f.timeline_id IN ('dream', 'loop') AND f.timeline_id NOT IN ('loop')")} {_S}, timeline_id, "key", arg_max(value, learned * 10000000000::HUGEINT + seq) AS value, arg_max(certainty, learned * 10000000000::HUGEINT + seq) AS certainty, count(*) AS n_facts FROM seen GROUP BY ALL""",
+    "state_of": f"""{WITH_SEEN}, al AS ({_S}, {_ALIAS} AS norm, arg_min("key" || ' ' || (seq % 4), seq) AS alias, min(seq) AS q FROM seen GROUP BY ALL),
+        att AS ({_S}, "key", arg_max(struct_pack(v := value), learned * 10000000000::HUGEINT + seq).v AS value FROM seen GROUP BY ALL),
+        pe AS (SELECT r.position, r.observer, f.*, {_CONTAINS.format(p='r.position')} AS certainty FROM requests r JOIN facts f USING (target_id) WHERE f.timeline_id = 'main' AND f."key" IN ('signup', 'purchase') AND (observer = 'SYSTEM' OR (observer_id = observer AND learned <= known)) AND position >= from_lb AND position < to_ub),
+        refs AS ({_S}, 'self:' || target_id AS ref FROM requests UNION {_S}, 'alias:n:' || norm FROM al UNION {_S}, 'self:s' || (seq % 50) FROM seen UNION {_S}, 'persona:body' || (seq % 3 + 1) FROM pe),
+        ra AS ({_S}, string_agg(alias, '|' ORDER BY q) AS aliases FROM al GROUP BY ALL), rt AS ({_S}, string_agg("key" || '=' || coalesce(CAST(CAST(round(value, 6) AS DECIMAL(20, 6)) AS VARCHAR), 'null'), '|' ORDER BY "key" || '=') AS attributes FROM att GROUP BY ALL),
+        rr AS ({_S}, string_agg("key" || '>s' || (seq % 50), '|' ORDER BY seq) AS relationships FROM seen GROUP BY ALL), rp AS ({_S}, string_agg('body' || (seq % 3 + 1), '|' ORDER BY seq) AS persona_ids FROM pe GROUP BY ALL),
+        rc AS ({_S}, min({_RANK.format(c='certainty')}) AS rank FROM (SELECT target_id, position, observer, certainty FROM seen UNION ALL SELECT target_id, position, observer, certainty FROM pe) GROUP BY ALL),
+        rs AS ({_S}, sha256(string_agg(ref, chr(10) ORDER BY ref)) AS read_set_hash, count(*) AS n_read FROM refs GROUP BY ALL)
+        {_S}, coalesce(aliases, '') AS aliases, coalesce(attributes, '') AS attributes, coalesce(relationships, '') AS relationships, coalesce(persona_ids, '') AS persona_ids, {_NAME.format(r='coalesce(rank, 2)')} AS certainty, read_set_hash, n_read
+        FROM requests LEFT JOIN ra USING (target_id, position, observer) LEFT JOIN rt USING (target_id, position, observer) LEFT JOIN rr USING (target_id, position, observer) LEFT JOIN rp USING (target_id, position, observer) LEFT JOIN rc USING (target_id, position, observer) LEFT JOIN rs USING (target_id, position, observer)""",
     "state_of_retracted": f"{WITH_FACTS}, {REQUESTS_SQL} {_S}, CAST(sum(CASE WHEN {_VISIBLE} THEN 1 ELSE 0 END) AS BIGINT) AS n_seen, count(*) AS n_retracted FROM requests JOIN facts USING (target_id) WHERE retracted IS NOT NULL GROUP BY ALL",
     "state_of_observer_diff": f"""{WITH_SEEN}, f AS ({_S}, "key", arg_max(value, learned * 10000000000::HUGEINT + seq) AS value FROM seen GROUP BY ALL)
         SELECT a.target_id, a.position, a."key", a.value AS system_value, b.value AS reader_value FROM f a LEFT JOIN f b ON a.target_id = b.target_id AND a.position = b.position AND a."key" = b."key" AND b.observer = 'READER'
@@ -200,8 +225,7 @@ SQL = {
         SELECT target_id, position, coalesce('body' || (seq % 3 + 1), 'body1') AS persona_id FROM n WHERE rn = 1""",
     "concurrent_personas": f"""{WITH_FACTS}, r AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS target_id, position FROM events, (VALUES (240.0::DOUBLE), (480.5)) p(position))
         SELECT r.target_id, r.position, string_agg(DISTINCT 'body' || (seq % 3 + 1), ',' ORDER BY 'body' || (seq % 3 + 1)) AS personas, count(DISTINCT seq % 3) AS n_personas FROM r JOIN facts f USING (target_id) WHERE f."key" IN ('signup', 'purchase') AND position >= from_lb AND position < to_ub GROUP BY ALL""",
-    "relations_at": """WITH p AS (SELECT o_custkey AS src, l_suppkey AS dst, min(o_orderdate) AS since, max(l_shipdate) AS until, max((l_shipdate, l_returnflag)) AS last FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
-        SELECT src, dst, last[2] AS "type" FROM p WHERE since <= TIMESTAMP '1996-06-01' AND until > TIMESTAMP '1996-06-01'""",
+    "relations_at": f"""{WITH_SEEN} {_S}, "key" AS "type", 's' || (seq % 50) AS dst_self, certainty, seq FROM seen""",
     "event_replay_upto": f"""{WITH_FACTS} SELECT target_id AS id, "key" AS "type", arg_max(value, seq) AS value, max(seq) AS seq, count(*) AS n_events FROM facts WHERE learned <= 15000000 GROUP BY ALL""",
     "event_counts": 'SELECT event_type AS "type", count(*) AS n_events FROM events GROUP BY 1',
     "next_seq_batch": "SELECT c_custkey AS id, (SELECT coalesce(max(o_orderkey), 0) FROM orders) + row_number() OVER (ORDER BY c_custkey) AS seq FROM customer WHERE c_nationkey = 3",
@@ -209,7 +233,7 @@ SQL = {
     "escalation_stats": "SELECT event_type AS stage, CASE WHEN user_id % 2 = 0 THEN 'LOCAL' ELSE 'LARGE' END AS tier, count(*) AS n_calls, CAST(sum(CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_escalated, CAST(sum(length(props)) AS BIGINT) AS tokens, round(avg(user_id), 6) AS avg_latency FROM events GROUP BY ALL",
     "open_intervals": f"{WITH_FACTS} SELECT timeline_id, count(*) AS n_open FROM facts WHERE to_ub = 'infinity'::DOUBLE GROUP BY 1",
     "redirect_roots": """WITH RECURSIVE m AS (SELECT c_custkey AS f, c_custkey - 1 AS t FROM customer WHERE c_custkey % 5 <> 0), w AS (SELECT f, t FROM m UNION ALL SELECT w.f, m.t FROM w JOIN m ON w.t = m.f)
-        SELECT f AS from_id, min(t) AS root FROM w GROUP BY 1""",
+        SELECT f AS from_id, min(t) AS root FROM w GROUP BY 1 UNION ALL SELECT c_custkey * 4 + 10000000 + i, c_custkey * 4 + 10000000 FROM customer, range(0, 4) r(i)""",
     "voided_semijoin": f"{WITH_FACTS} SELECT target_id, count(*) AS n_facts FROM facts WHERE target_id IN (SELECT target_id FROM facts WHERE retracted IS NOT NULL) GROUP BY 1",
     "timelines": f"{WITH_FACTS} SELECT DISTINCT timeline_id FROM facts",
     "read_set_digest": "SELECT l_orderkey AS id, sha256(string_agg(DISTINCT 'part:' || l_partkey, chr(10) ORDER BY 'part:' || l_partkey)) AS read_set_hash, count(DISTINCT l_partkey) AS n_refs FROM lineitem GROUP BY 1",

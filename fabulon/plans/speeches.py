@@ -10,14 +10,11 @@ from fabulon.operators import speech
 from fabulon.operators.incremental import resolve_windows
 from fabulon.sources.adapters import table
 
-_LINE = "case when turn % 3 = 0 then '\"' || substr(text, 1, 40) || '\" said R' || role || '.' when turn % 3 = 1 then 'R' || role || ' asked, \"' || substr(text, 1, 30) || '\" It was late.' else 'He thought \"' || substr(text, 1, 20) || '\" and left.' end"
-
-#: The lines as the queries read them, whole; _LINE is the SQL's.
-_WHOLE = "case when turn % 3 = 0 then '\"' || text || '\" said R' || role || '.' when turn % 3 = 1 then 'R' || role || ' asked, \"' || text || '\" It was late.' else 'He thought \"' || text || '\" and left.' end"
+_LINE = "case when turn % 3 = 0 then '\"' || text || '\" said R' || role || '.' when turn % 3 = 1 then 'R' || role || ' asked, \"' || text || '\" It was late.' else 'He thought \"' || text || '\" and left.' end"
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "conversations").select("conv_id", "turn", "role", F.expr(_WHOLE).alias("text"))
+    return table(s, d, "conversations").select("conv_id", "turn", "role", F.expr(_LINE).alias("text"))
 
 
 def quote_spans(s: SparkSession, d: str) -> DataFrame:
@@ -128,7 +125,7 @@ SQL = {
         SELECT user_id, coalesce(x, l) AS "end", x IS NULL AS open, min(event_id) AS start FROM m WHERE event_type = 'signup' GROUP BY ALL""",
     "scene_sessions": f"""WITH e AS (SELECT user_id, {_AT} AS at_ FROM events), n AS (SELECT *, CASE WHEN at_ - lag(at_) OVER (PARTITION BY user_id ORDER BY at_) > 40000 THEN 1 ELSE 0 END AS s FROM e), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY at_ RANGE UNBOUNDED PRECEDING) AS g FROM n)
         SELECT user_id, min(at_) AS start, max(at_) AS "end", count(*) AS n_rows FROM g GROUP BY user_id, g""",
-    "suspected_splits": "WITH s AS (SELECT DISTINCT p_name AS s, lower(regexp_extract(p_name, '(\\S+)$', 1)) AS head FROM part WHERE p_partkey <= 400) SELECT x.s AS a, y.s AS b, x.head FROM s x JOIN s y ON x.head = y.head AND x.s < y.s AND abs(length(x.s) - length(y.s)) <= 12",
+    "suspected_splits": "WITH s AS (SELECT DISTINCT p_name AS s, lower(regexp_extract(p_name, '(\\S+)$', 1)) AS head FROM part) SELECT x.s AS a, y.s AS b, x.head FROM s x JOIN s y ON x.head = y.head AND x.s < y.s AND abs(length(x.s) - length(y.s)) <= 12",
     "parentheticals": "WITH p AS (SELECT lang, unnest(regexp_extract_all(text, '\\(([^()\\n]{2,40})\\)', 1)) AS x FROM documents) SELECT lang, CASE WHEN regexp_matches(x, '^[0-9 +-]+$') THEN 'NUMBER' ELSE 'GLOSS' END AS kind, count(*) AS n FROM p GROUP BY ALL",
     "pronouns": "WITH p AS (SELECT source, unnest(regexp_extract_all(lower(text), '\\b(he|him|his|she|her|they|them|it)\\b', 1)) AS pronoun FROM documents WHERE lang = 'en') SELECT source, pronoun, count(*) AS n FROM p GROUP BY ALL",
     "deferred_queue": "WITH t AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) SELECT CASE WHEN k < 3 THEN 'READY' ELSE 'EXHAUSTED' END AS state, count(*) AS n_cases FROM t GROUP BY 1",

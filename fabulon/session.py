@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -23,3 +25,14 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without lineage, through the checkpoint folder that the session names; a local session without one gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp("checkpoints"))
+    return df.checkpoint(eager=True)

@@ -39,11 +39,12 @@ def test_names(spark):
     r = one(
         spark, key=names.comparison_key(F.lit("The Lord Klein-Moretti’s")), fold=names.normalize_alias(F.lit("  Straße  X ")), marks=names.strip_diacritics(F.lit("Éñû")),
         only=names.strip_honorifics(F.lit("Lord")), jw=names.jaro_winkler(F.lit("audrey"), F.lit("alger")), close=names.close_keys(F.lit("abc"), F.lit("abd")), same=names.close_keys(F.lit("abc"), F.lit("abc")),
-        part=names.name_containment(F.lit("Klein Moretti"), F.lit("Sir Klein Moretti")), single=names.name_containment(F.lit("Moretti"), F.lit("Klein Moretti")),
+        part=names.name_containment(F.lit("Klein Moretti"), F.lit("Gu Klein Moretti")), equal=names.name_containment(F.lit("Klein Moretti"), F.lit("Sir Klein Moretti")),
+        known=names.name_containment(F.lit("Dokja"), F.lit("Kim Dokja"), F.array(F.lit("kim"))), shared=names.name_containment(F.lit("Kim"), F.lit("Yoo Kim"), F.array(F.lit("kim"))), single=names.name_containment(F.lit("Moretti"), F.lit("Klein Moretti")),
     )
     assert (r.key, r.fold, r.marks, r.only) == ("kleinmoretti", "strasse x", "Enu", "Lord")
     assert round(r.jw, 3) == 0.630 and r.close and not r.same
-    assert round(r.part, 3) == 0.9 and r.single == 0
+    assert round(r.part, 3) == 0.9 and r.single == r.equal == r.shared == 0 and round(r.known, 3) == 0.875
 
 
 def test_text(spark):

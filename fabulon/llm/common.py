@@ -19,12 +19,15 @@ FLUSH_BYTES = 8 << 20
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read again: lineage ends here.
 
-    The folder is spark.checkpoint.dir of the session. Where that is unset (tests, one
-    machine) a temporary one is set; a cluster must name a shared one.
+    The folder is spark.checkpoint.dir of the session. Where that is unset a local session gets a
+    temporary one; a cluster must name a shared one.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp("checkpoints"))
     # Nothing refers to the steps before the last checkpoint any more: let Spark remove their shuffle files now, not when memory happens to run short.
     gc.collect()
     sc._jvm.System.gc()
@@ -45,9 +48,20 @@ def spread_key(*cols: Column) -> Column:
     return F.xxhash64(F.lit(0x5EED), *cols)
 
 
-def along(docs: DataFrame, carry: tuple[str, ...]) -> list[Column]:
-    """The columns named in carry as one column "carried", or none."""
-    return [F.struct(*[docs[c] for c in carry]).alias("carried")] * bool(carry)
+def along(docs: DataFrame, carry: tuple[str, ...], text_col: str) -> list[Column]:
+    """The columns named in carry as one column "carried", or none; the text travels anyway, once."""
+    rest = [c for c in carry if c != text_col]
+    return [F.struct(*[docs[c] for c in rest]).alias("carried")] * bool(rest)
+
+
+def travelling(carry: tuple[str, ...], text_col: str) -> list[str]:
+    """The columns that a function of batches hands on unchanged."""
+    return ["carried"] * any(c != text_col for c in carry) + ["text"] * (text_col in carry)
+
+
+def arrived(out: DataFrame, ddl: str, carry: tuple[str, ...], text_col: str) -> DataFrame:
+    """The columns of ddl, and those named in carry under their names."""
+    return out.select(*[f.name for f in StructType.fromDDL(ddl)], *[(F.col("text") if c == text_col else F.col("carried")[c]).alias(c) for c in carry])
 
 
 def with_types(ddl: str, source: DataFrame, *names: str) -> StructType:
@@ -128,6 +142,54 @@ class Rolling:
         return mixed((self.sums[k:] - self.sums[:n]) * Rolling._down[:n]) if n > 0 else np.zeros(0, dtype=np.uint64)
 
 
+_P = np.uint64((1 << 31) - 1)
+#: Bases of the two hashes modulo that prime.
+_BASES = (1_192_384_741, 252_246_292)
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for x under 2**63."""
+    x = (x & _P) + (x >> np.uint64(31))
+    x = (x & _P) + (x >> np.uint64(31))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _mod(out * np.uint64(pow(base, len(out), int(_P))))])
+    return out[:n].astype(np.uint32)  # half the memory
+
+
+class Stretches:
+    """Hashes of any stretches of one byte array: two polynomials modulo a prime in 62 bits, mixed.
+
+    Modulo 2**64 some plain texts collide for any base (Thue-Morse words); modulo a prime none
+    are known to.
+    """
+
+    _up: list[np.ndarray] = []
+    _down: list[np.ndarray] = []
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        if not Stretches._up or len(Stretches._up[0]) <= n:
+            size = max(n + 1, 1 << 20)
+            Stretches._up = [_prime_powers(b, size) for b in _BASES]
+            Stretches._down = [_prime_powers(pow(b, -1, int(_P)), size) for b in _BASES]
+        own, self.sums = data.astype(np.uint64) + np.uint64(1), []
+        for up in Stretches._up:
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            terms = own * up[:n]  # under 2**39 each, so that 2**24 of them fit; else reduced to under 2**31
+            np.cumsum(terms if n < 1 << 24 else _mod(terms), out=sums[1:])
+            self.sums.append(sums)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the stretches [start, end)."""
+        one, two = (_mod(_mod(s[end] - s[start]) * down[start]) for s, down in zip(self.sums, Stretches._down, strict=True))
+        return mixed(one << np.uint64(31) | two)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finaliser, so that all bits of a hash are usable."""
     h = h ^ (h >> np.uint64(32))

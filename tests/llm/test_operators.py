@@ -55,6 +55,28 @@ def test_whole_licenses_wrapped_anew(spark):
     assert {r.doc_id: r.license_id for r in licenses.scan(docs(spark, rows)).collect()} == want
 
 
+def test_riders_in_other_scripts(spark):
+    mit = licenses.KNOWN["MIT"]
+    riders = ["Коммерческое использование запрещено.", "仅限非商业用途", "Μόνο για μη εμπορική χρήση", "للاستخدام غير التجاري فقط", "गैर-व्यावसायिक", "ß"]
+    rows = [(i, text + "\n\n" + x) for i, (text, x) in enumerate((t, x) for t in (mit, "Released under the MIT License.") for x in riders)]
+    rows += [(100, "仅限非商业用途"), (101, "Коммерческое"), (102, mit + "\n\n--- * ---")]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert all(r.license_id is None for i, r in got.items() if i < 102) and got[102].license_id == "MIT"
+    assert got[100].canonical_sha256 != got[101].canonical_sha256 and got[100].canonical_chars == 7
+
+
+def test_license_sql_on_licenses(spark, tmp_path):
+    import duckdb
+
+    texts = [*licenses.KNOWN.values(), *licenses.FULL.values(), "Copyright (c) 2020 X\n" + licenses.KNOWN["ISC"], licenses.KNOWN["MIT"] + " 仅限", None, "", "v.\n2 of x", "copyright notice and this"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())}))
+    want = sorted(c.execute(licenses.scan_sql()).fetchall())
+    got = sorted(map(tuple, licenses.scan(rows).select("doc_id", "canonical_sha256", "canonical_chars", "license_id").collect()))
+    assert got == want and sum(r[3] is not None for r in got) >= 13
+
+
 # -- chat ------------------------------------------------------------------------------------------
 
 
@@ -84,6 +106,11 @@ def test_chat_rows(spark):
     got = {r.conv_id: r for r in chat.digests(chat.format_chats(t)).collect()}
     assert got[1].n_turns == 3 and got[1].loss_chars == 2 and got[1].loss_sha256 == hashlib.sha256(b"bb").hexdigest()
     assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\nassistant\nb\n").hexdigest()
+    wide = t.select("*", F.lit("x").alias("formatted"), F.lit(1).alias("rewrites_at"), F.lit(None).alias("n_turns"))  # names that clash
+    assert sorted(map(str, chat.digests(chat.format_chats(wide)).collect())) == sorted(map(str, got.values()))
+    long = spark.createDataFrame([(1, 0, "user", "é<|end|>" * 200_000), (1, 1, "assistant", "x" * 1_000_000)], t.schema)
+    r = chat.digests(chat.format_chats(long)).first()
+    assert r.n_turns == 2 and r.loss_chars == 1_000_000 and r.loss_sha256 == hashlib.sha256(b"x" * 1_000_000).hexdigest()
     assert got[None].n_turns == 1 and got[2].loss_sha256 == hashlib.sha256(b"").hexdigest()
     assert chat.format_chats(t.limit(0)).count() == 0
 
@@ -95,9 +122,13 @@ def test_media_round_trip_and_general_decoder(monkeypatch):
     r = np.random.default_rng(1)
     payload = r.integers(0, 256, 192 * 130, dtype=np.uint8).tobytes()
     rate, frames = media.read_avi(media.store(payload))
-    assert rate == 40_000 and len(frames) == 3
+    assert rate == 40_000 and len(frames) == 65
     assert b"".join(media.payload_of(media.decode_jpeg(f)) for f in frames) == payload
-    monkeypatch.setattr(media, "_fixed_width", lambda *a: None)
+    pixels, frame, back = media.decode_frames(frames)
+    monkeypatch.setattr(media, "_fixed_width", lambda *a, **k: None)
+    assert back == payload and frame.tolist() == np.repeat(np.arange(65), 2).tolist()
+    slow = [media.decode_jpeg(f) for f in frames[:3]]
+    assert (np.concatenate([media.luminance(f) for f in slow]) == pixels[:6]).all()
     small = media.jpeg_of(payload[:384])
     assert media.payload_of(media.decode_jpeg(small)) == payload[:384]
     with pytest.raises(ValueError):
@@ -108,6 +139,14 @@ def test_shots():
     h = np.zeros((40, 32))
     h[:, 3] = 1
     h[20:, 3], h[20:, 9] = 0, 1
+    r = np.random.default_rng(2)
+    for n in (2, 3, 5, 9):  # a cut that stands out is found in files of any length, even differences are none
+        even = np.zeros((n, 32))
+        even[np.arange(n), np.arange(n) % 2] = 1
+        assert n == 2 or media.shots(even) == [(0, n)]
+        near = np.abs(r.normal(1, 0.02, (n, 32)))
+        near[n // 2 :, :16] += 3
+        assert media.shots(near / near.sum(axis=1, keepdims=True)) == [(0, n // 2), (n // 2, n)]
     assert media.shots(h) == [(0, 20), (20, 40)] and media.shots(h[:20]) == [(0, 20)] and media.shots(h[:0]) == []
 
 
@@ -118,6 +157,22 @@ def test_media_rows(spark):
         raw = {i: t for i, t in EDGE}[r.doc_id] or ""
         payload = media.padded(raw.encode())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    features = {r.doc_id: r.clips for r in got}
+    for i, t in EDGE:  # clips by cosines written out
+        payload = np.frombuffer(media.padded((t or "").encode()), dtype=np.uint8)[: 192 * 40].astype(int).reshape(-1, 3, 64)[:, 0]
+        if len(t or "") > 192 * 40:
+            continue
+        c = np.where(payload >= 128, payload, payload - 255)
+        block = np.zeros((len(c), 8, 8))
+        block[:, media.ZIGZAG // 8, media.ZIGZAG % 8] = c
+        k = np.arange(8)
+        basis = np.array([[(0.5 if u else 8**-0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in k] for u in k])
+        shade = np.clip(np.rint(np.einsum("buv,uy,vx->byx", block, basis, basis) + 128), 0, 255).astype(int) >> 3
+        h = np.stack([np.bincount(shade[j : j + media.FRAME_MCUS].ravel(), minlength=32) / shade[j : j + media.FRAME_MCUS].size for j in range(0, len(shade), media.FRAME_MCUS)])
+        want = [(a, z - a, round(float((h[a:z] @ (np.arange(32) * 8 + 3.5)).mean()), 2)) for a, z in media.shots(h)]
+        assert [(x["first"], x["frames"]) for x in features[i]] == [w[:2] for w in want]
+        assert all(abs(x["brightness"] - w[2]) < 0.1 for x, w in zip(features[i], want, strict=True))
+    assert media.read_media(media.store_text(docs(spark, []))).count() == 0
     broken = spark.createDataFrame([(1, 0, bytearray(b"RIFFxxxx")), (2, 0, None)], "doc_id long, n_bytes long, media binary")
     assert all(r.error and r.clips is None for r in media.read_media(broken).collect())
     assert media.clip_rows(media.read_media(media.store_text(docs(spark, EDGE)))).count() >= len(EDGE)
@@ -187,6 +242,10 @@ def test_vectors(spark, monkeypatch):
     for i in (900, 901, 902, 903, 906, 907, 908):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert spherical.near_vectors(df.limit(0)).count() == 0
+    many = [(i, (base[i % 3]).tolist(), 0 if i % 50 else None) for i in range(600)] + [(1000 + i, (base[0] * (1 + i)).tolist(), 0) for i in range(5)]  # copies, and copies at other lengths
+    df = spark.createDataFrame(many, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as weight", "'x' as digest", "2 as n_links")
+    want = brute_vectors([(i, v, l) for i, v, l in many])
+    assert {x.vec_id: x.n_links for x in spherical.near_vectors(df).collect()} == {i: len(x) for i, x in want.items()}
 
 
 def test_components(spark):
@@ -233,6 +292,9 @@ def test_repeats(spark):
     got = suffixes.remove_repeats(docs(spark, rows), keep_text=True, carry=("lang",)).collect()
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == brute_repeats(rows)
     assert {x.lang for x in got} == {"en"}
+    common = "".join(chr(0x400 + 5 * i % 64) for i in range(55))  # the repeat begins with the second byte of the letter before it
+    cut = {x.doc_id: x.kept for x in suffixes.remove_repeats(docs(spark, [(1, "é" + common), (2, "abc" + "ĩ" + common + "xyz")]), keep_text=True).collect()}
+    assert cut == {1: "é" + common, 2: "abcxyz"}
     twice = suffixes.remove_repeats(docs(spark, [(1, passages[0]), (1, passages[0]), (2, passages[0])])).collect()
     assert sorted((x.doc_id, x.n_removed > 0) for x in twice) == [(1, False), (1, False), (2, True)]
     assert suffixes.remove_repeats(docs(spark, [])).count() == 0
@@ -298,6 +360,46 @@ def test_ngram_join(spark):
     assert join_similar(docs(spark, [])).count() == 0
 
 
+def thue_morse(n):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_ngram_join_of_long_texts(spark):
+    """Sets on both sides of each number of groups, families that share half of a text, and words that polynomials modulo 2**64 confuse."""
+    r = random.Random(12)
+    words = [f"v{i}" for i in range(3000)]
+    rows = []
+    for size in (120, 250, 330, 500, 680, 1000, 1350, 2600, 5200, 6500):
+        base = [r.choice(words) for _ in range(size)]
+        for k in range(5):
+            w = [r.choice(words) if r.random() < 0.006 * k * k else x for x in base]
+            rows.append((len(rows), " ".join(w + [r.choice(words) for _ in range(size * (k % 3) // 6)])))
+        rows += [(len(rows) + k, " ".join(base[: size // 2] + [r.choice(words) for _ in range(size // 2)])) for k in range(3)]
+    one, two = thue_morse(2048)
+    rows += [(900, f"{one} b c d e {two} b c d"), (901, f"{two} b c d e {one} b c d"), (902, one), (903, two)]
+    base = [r.choice(words) for _ in range(40)]
+    rows += [(1000 + i, " ".join(base[: r.randint(33, 40)] + [f"z{i}"] * (i % 2))) for i in range(120)]  # one tree of more than a leaf
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in join_similar(docs(spark, rows)).collect()}
+    assert got == brute_jaccard(rows)
+
+
+def test_bounds_hold_across_numbers_of_groups():
+    from fabulon.llm import jaccard
+
+    r = np.random.default_rng(3)
+    for n in (5, 16, 17, 100, 250, 256, 300, 511, 512, 513, 700, 1100, 4000):
+        a = np.unique(r.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, int(0.9 * n))], r.integers(0, 1 << 62, max(1, n // 5), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        sizes = np.array([len(a), len(b)])
+        raw = list(map(zlib.decompress, jaccard.points_of(np.concatenate([a, b]), np.concatenate([[0], np.cumsum(sizes)]))))
+        assert [len(p) for p in raw] == jaccard.groups(sizes).tolist()
+        if 100 * both >= 75 * (sizes.sum() - both):
+            (x, y, bound), pairs = jaccard.small_trees(raw, sizes, np.array([0, 2]), 75), list(jaccard.searches(raw, sizes, np.arange(2), np.arange(2), 75))
+            assert (x.tolist(), y.tolist()) == ([0], [1]) and bound[0] >= both and len(pairs) == 1
+
+
 def test_groups_span_batches():
     r = random.Random(9)
     keys = sorted(r.randint(0, 12) for _ in range(200))
@@ -328,6 +430,12 @@ def test_pieces_match_the_library(vocabulary):
     assert got.to_pylist() == lib.decode(lists)
 
 
+def test_pieces_of_confusable_texts(vocabulary):
+    texts = [t for n in (1024, 2048, 4096) for t in thue_morse(n)]
+    flat, offsets = vocabulary.encode_all(pa.array(texts))
+    assert [flat[offsets[i] : offsets[i + 1]].tolist() for i in range(len(texts))] == vocabulary.library.encode(texts)
+
+
 def test_piece_rows(spark):
     import public_tokenizers
 
@@ -351,7 +459,7 @@ def test_language(spark, sf_dir):
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 
 
-def test_cross_parsing_against_brute_force():
+def test_cross_parsing_against_brute_force(monkeypatch):
     train = {"a": "the cat sat on the mat and the rat", "b": "le chat est sur le tapis et le rat"}
     model = language.Automata(train)
 
@@ -365,11 +473,29 @@ def test_cross_parsing_against_brute_force():
         return out
 
     texts = ["the cat", "zzz the", "é", "le rat sat", "x1y2z", "chat  chat!"]
-    codes, sizes = model.codes(texts)
-    got = model.phrases(codes, sizes)
-    for i, t in enumerate(texts):
-        t = language.letters(t)
-        assert sizes[i] == len(t) and got[i].tolist() == [phrases(train[k], t) for k in "ab"]
+    texts += [train["a"] * 60, "zq" * 2000, "the cat sat" * 300, train["b"] + "x" * 1100 + train["a"] * 40]  # phrases run across blocks
+
+    def check(model):
+        codes, sizes = model.codes(texts)
+        got = model.phrases(codes, sizes)
+        for i, t in enumerate(texts):
+            t = language.letters(t)
+            assert sizes[i] == len(t) and got[i].tolist() == [phrases(train[k], t) for k in "ab"]
+
+    check(model)
+    monkeypatch.setattr(language, "BLOCK", 5)
+    check(model)
+    monkeypatch.setattr(language, "DENSE", 10)
+    check(language.Automata(train))
+
+
+def test_many_letters():
+    """Languages of thousands of letters have tables that grow with their text, not with states times letters."""
+    r = random.Random(6)
+    train = {f"l{i}": "".join(chr(0x4E00 + 700 * i + r.randint(0, 4999)) for _ in range(20_000)) for i in range(4)} | {"en": "the cat sat on the mat " * 100}
+    model = language.Automata(train)
+    assert len(model.sparse) == 4 and len(model.next) < 1 << 20
+    assert model.classify([train["l2"][500:900], "the mat", train["l0"][5:300]])[0] == ["l2", "en", "l0"]
 
 
 def test_toxicity(spark, sf_dir):
@@ -386,9 +512,31 @@ def test_toxicity(spark, sf_dir):
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
     assert toxicity.classify(docs(spark, EDGE), labels).count() == len(EDGE)
+    assert toxicity.classify(docs(spark, []), labels).count() == 0 and language.identify(docs(spark, [])).count() == 0
     assert {r.score for r in toxicity.classify(docs(spark, EDGE), labels.limit(0)).collect()} == {0.0}
 
 
+def test_convolutions_against_brute_force():
+    """Scores by loops over words, filters and places; and gradients that lower the loss of a separable sample."""
+    texts = ["a bad day", "", "one two three four five", "Bad BAD good-day", "x"]
+    model = toxicity.Model.fresh(3)
+    rows, starts, ends = toxicity.indexed(pa.array(texts))
+    for i, t in enumerate(texts):
+        own = rows[starts[i] : ends[i] + max(toxicity.WIDTHS) - 1]
+        assert len(own) >= len(re.findall(r"[^\W_]+", t))
+        hidden = []
+        for w, f, bias in zip(toxicity.WIDTHS, model.filters, model.bias, strict=True):
+            places = range(ends[i] - starts[i])
+            at = lambda p: model.table[rows[starts[i] + p]].sum(axis=0)  # noqa: B023, E731
+            hidden += [max(0.0, max(sum(float(at(p + k) @ f[k, :, n]) for k in range(w)) for p in places) + float(bias[n])) for n in range(toxicity.FILTERS)]
+        want = 1 / (1 + np.exp(-(np.dot(hidden, model.out) + model.out_bias)))
+        assert abs(model.scores(pa.array([t]))[0] - want) < 1e-5 and abs(model.scores(pa.array(texts))[i] - want) < 1e-5
+    r = random.Random(1)
+    sample = [(" ".join(r.choice("red green blue grey".split()) for _ in range(12)) + (" vile" if i % 2 else ""), i % 2, "en") for i in range(200)]
+    fitted = toxicity.fit(sample)
+    assert fitted.scores(pa.array(["red vile blue"]))[0] > 0.9 and fitted.scores(pa.array(["red green blue"]))[0] < 0.1 and 0.25 <= fitted.thresholds["en"] <= 0.75
+
+
 def test_missed_pairs_stay_rare_as_the_table_grows():
     r = np.random.default_rng(11)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)

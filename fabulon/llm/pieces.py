@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabulon.llm.common import Rolling, joined_bytes, slices
+from fabulon.llm.common import Stretches, joined_bytes, slices
 
 SPACE = "▁"
 #: Chunks that a process keeps before it starts anew.
@@ -169,7 +169,7 @@ class Pieces:
         if len(data) == 0:
             return np.zeros(0, dtype=np.int32), np.zeros(len(offsets), dtype=np.int64)
         start, end = bounds[:-1], bounds[1:]
-        kinds, first, index = np.unique(Rolling(data).of(start, end), return_index=True, return_inverse=True)
+        kinds, first, index = np.unique(Stretches(data).of(start, end), return_index=True, return_inverse=True)
         keys, cache = kinds.tolist(), self.cache
         number = np.fromiter(map(cache.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
         new = np.flatnonzero(number < 0)

@@ -12,8 +12,9 @@ that bytes known to be equal are not compared again. Neighbours in merged order
 enough common prefix, grouped further by the bytes left of the anchor, are the repeated strings.
 Most occurrences lie inside longer repeats. If all bytes that a string around the anchor can
 reach are the same as at an earlier occurrence, every string around it is a repeat; these are
-settled by a hash of the surroundings, and only one occurrence of each surroundings is sorted,
-and that only where an anchor has several.
+settled by two 64-bit hashes of the surroundings, and only one occurrence of each surroundings is
+sorted, and that only where an anchor has several. Occurrences are first dealt by surroundings, the
+earliest of each kept, and only these by anchor, so that a common passage does not meet in one task.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ _ALL = -1
 #: Place of a suffix: document order number << 40 | byte position.
 _ORD = 40
 SLICE = 4 << 20
+#: Other numbers for the bytes, which make of one polynomial hash a second.
+_ANOTHER = np.random.default_rng(40).permutation(256).astype(np.uint8)
 
 
 def _least(h: np.ndarray, w: int, pick=np.minimum) -> np.ndarray:
@@ -176,7 +179,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
     `length` bytes that also starts earlier: in a smaller doc_id, or earlier in the same document.
     A null id orders before all others. Rows with one id and different texts are documents of
     their own, in a fixed order; rows equal in both are one document, and each gets its result.
-    In `kept`, bytes of a character of which a part is removed read as U+FFFD. The columns named
+    In `kept`, a character of which a part is removed is left out whole. The columns named
     in carry come along; others are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -240,33 +243,34 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
     def surround(batches, settled: bool):
         """Occurrences with hashes of anchor and surroundings; or those settled because the slice has their surroundings before."""
         for data, ids, place, pos, rights, lefts in located(batches):
-            hashes = Rolling(data)
-            around = mixed(hashes.of(pos - lefts, pos + rights) + (lefts * 256 + rights).astype(np.uint64))
+            hashes, other = Rolling(data), Rolling(_ANOTHER[data])
+            shape = (lefts * 256 + rights).astype(np.uint64)
+            around, also = (mixed(h.of(pos - lefts, pos + rights) + shape) for h in (hashes, other))
             first_ = np.zeros(len(pos), dtype=bool)
-            first_[np.unique(around, return_index=True)[1]] = True  # rows are in text order
+            at = np.lexsort((also, around))  # stable, and rows are in text order
+            first_[at] = np.concatenate([[True], (around[at[1:]] != around[at[:-1]]) | (also[at[1:]] != also[at[:-1]])])
             if settled:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[~first_]), pa.array(place[~first_])], names=["doc", "place"])
             else:
                 key = hashes.of(pos, pos + k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[first_]), pa.array(around.view(np.int64)[first_]), pa.array(ids[first_]), pa.array(place[first_])], names=["key", "around", "doc", "place"])
-
-    def decide(batches):
-        """Of each surroundings all but the first are settled; the first is sent on if its anchor has other surroundings."""
-        for t in groups_of(batches, "key"):
-            key, around = t.column("key").to_numpy(), t.column("around").to_numpy()
-            new_key = np.concatenate([[True], key[1:] != key[:-1]])
-            head = new_key | np.concatenate([[True], around[1:] != around[:-1]])
-            group = np.cumsum(new_key) - 1
-            several_ = np.bincount(group, weights=head)[group] > 1
-            keep = ~head | several_
-            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(keep)) for c in ("doc", "place")] + [pa.array(head[keep])], names=["doc", "place", "send"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[first_]) for x in (key, around.view(np.int64), also.view(np.int64), ids, place)], names=["key", "around", "also", "doc", "place"])
+
+    def earliest(batches):
+        """Of each surroundings all but the first are settled; the first goes on, with the hash of its anchor."""
+        for t in groups_of(batches, "around"):
+            key, around, also = (t.column(c).to_numpy() for c in ("key", "around", "also"))
+            head = np.ones(t.num_rows, dtype=bool)
+            head[1:] = (key[1:] != key[:-1]) | (around[1:] != around[:-1]) | (also[1:] != also[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key, mask=~head), *[t.column(c).combine_chunks() for c in ("doc", "place")]], names=["key", "doc", "place"])
 
     kept = ("doc", "mark", "text", *["carried"] * bool(carry), "found")
     read = source.join(by_doc, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark")
     done = read.mapInArrow(lambda b: surround(b, True), "doc long, place long")
-    placed = read.mapInArrow(lambda b: surround(b, False), "key long, around long, doc long, place long")
-    decided = placed.repartition(width, "key").sortWithinPartitions("key", "around", "doc", "place").mapInArrow(decide, "doc long, place long, send boolean")
-    to_send = decided.filter("send").groupBy("doc").agg(F.collect_list("place").alias("found"))
+    placed = read.mapInArrow(lambda b: surround(b, False), "key long, around long, also long, doc long, place long")
+    decided = placed.repartition(width, "around").sortWithinPartitions("around", "also", "key", "doc", "place").mapInArrow(earliest, "key long, doc long, place long")
+    # Sent are the first ones of anchors that have several surroundings.
+    heads = decided.filter("key is not null").repartition(width, "key").sortWithinPartitions("key")
+    to_send = heads.mapInArrow(several, "key long, doc long, place long").groupBy("doc").agg(F.collect_list("place").alias("found"))
 
     def runs(batches):
         for data, ids, place, pos, rights, lefts in located(batches):
@@ -304,7 +308,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
     blobs = source.join(to_send, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").mapInArrow(runs, "part int, " + ", ".join(f"{c} binary" for c in _BLOB))
     # Runs of a part come in no fixed order; ranks settle which occurrence is first, not run order.
     marks = blobs.repartition(width, "part").sortWithinPartitions("part").mapInArrow(combine, "doc long, place long, mask long")
-    whole = decided.filter("not send").select("doc", "place").unionByName(done)
+    whole = decided.filter("key is null").select("doc", "place").unionByName(done)
     marks = marks.unionByName(whole.select("doc", "place", F.lit(_ALL).cast("long").alias("mask")))
     marked = marks.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("found"))
 
@@ -339,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
             ids = pc.if_else(pc.equal(b.column("doc"), NULL_ID), pa.scalar(None, pa.int64()), b.column("doc"))
             arrays = [ids, pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in rests], pa.string())]
             if keep_text:
-                texts = pa.array([x.decode("utf-8", "replace") for x in rests], pa.string())
+                texts = pa.array(_whole_characters(data, offsets, gone, removed, rests), pa.string())
                 arrays.append(pc.if_else(b.column("text").is_valid(), texts, pa.scalar(None, pa.string())))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(arrays)]
             if carry:
@@ -352,6 +356,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
     return out.select(*[c for c in out.columns if c != "carried"], *[F.col("carried")[c].alias(c) for c in carry])
 
 
+def _whole_characters(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray, removed: np.ndarray, rests: list[bytes]) -> list[str]:
+    """The remaining texts, cut at character borders."""
+    if not removed.any():
+        return [x.decode() for x in rests]
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    part = np.repeat(np.logical_or.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
+    return [x.decode() if r == 0 else data[a:z][~part[a:z]].tobytes().decode() for x, r, a, z in zip(rests, removed.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def _settled(rows: list[dict], length: int, k: int, chunk: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Marks of one part, found by merging its runs, whole groups of equal anchors at a time."""
 

@@ -3,7 +3,8 @@
 A text is normalised (case, copyright lines, equivalent spellings, punctuation, white space) and
 its SHA-256 looked up among the digests of known licence texts, normalised alike. Only built-in
 functions run on documents; every pattern means the same to Java's and RE2's engines, so the
-query has an SQL form (which strips more lines as notices and knows KNOWN alone).
+query has an SQL form. Letters and digits of all scripts stay, so that a rider in any of them
+makes another text of a licence.
 """
 
 from __future__ import annotations
@@ -28,12 +29,9 @@ STEPS = (
     ("\\b(organis)", "organiz"),
     ("\\b(merchantib)", "merchantab"),
     ("\\b(version |v\\.?[ \t\n]*)([0-9])", "version $2"),
-    ("[^a-z0-9à-ɏ]+", " "),  # punctuation, bullets and white space
+    ("[^\\p{L}\\p{M}\\p{N}]+", " "),  # punctuation, bullets and white space
 )
 
-#: The SQL's steps: it takes any line that begins like a notice, and "v." and its number on one line only.
-_SQL_STEPS = (STEPS[0], ("(^|\n)[ \t*#/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\n]*", "\n"), *STEPS[2:10], ("\\b(version |v\\.? ?)([0-9])", "version $2"), *STEPS[11:])
-
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -77,7 +75,7 @@ KNOWN = {
     "Zlib": _ZLIB,
 }
 
-#: More texts, which the SQL does not know.
+#: More whole texts.
 FULL = {"BSD-2-Clause": _BSD.format(names=""), "BSD-3-Clause": _BSD.format(names=_NAMES)}
 #: Digests of whole licences (the files of /usr/share/common-licenses, notices and appendices included).
 DIGESTS = {
@@ -131,14 +129,16 @@ def scan_sql(known: dict[str, str] | None = None) -> str:
 
     def form(column: str) -> str:
         out = f"lower(coalesce({column}, ''))"
-        for pattern, to in _SQL_STEPS:
+        for pattern, to in STEPS:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('$2', chr(92) + '2'))}, 'g')"
         return f"trim({out})"
 
-    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted((KNOWN if known is None else known).items()))
+    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted((KNOWN | FULL if known is None else known).items()))
+    whole = " ".join(f"UNION ALL SELECT {quoted(v)}, {quoted(k)}" for k, v in sorted(DIGESTS.items())) if known is None else ""
     return f"""
 WITH known(license_id, known_text) AS (VALUES {values}),
-digests AS (SELECT sha256({form("known_text")}) AS canonical_sha256, min(license_id) AS license_id FROM known WHERE {form("known_text")} <> '' GROUP BY 1),
+digests AS (SELECT canonical_sha256, min(license_id) AS license_id FROM
+  (SELECT sha256({form("known_text")}) AS canonical_sha256, license_id FROM known WHERE {form("known_text")} <> '' {whole}) GROUP BY 1),
 canon AS (SELECT doc_id, {form("text")} AS c FROM documents)
 SELECT doc_id, sha256(c) AS canonical_sha256, CAST(length(c) AS BIGINT) AS canonical_chars, license_id
 FROM canon LEFT JOIN digests ON sha256(c) = canonical_sha256"""

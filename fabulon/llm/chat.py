@@ -112,7 +112,7 @@ def format_chats(turns: DataFrame, template: Template = marked, id_col: str = "c
     arrive sorted, and a task holds one conversation at a time.
     """
     rows = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    dealt = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = rows.repartition(partitions(turns.sparkSession), F.xxhash64("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def conversations(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:
         now, own = None, []
@@ -142,7 +142,11 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def digests(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Of what format_chats returned: the turns read back from the output and the text under the loss mask, as digests."""
+    """Of what format_chats returned with `marked`: the turns read back from the output and the text under the loss mask, as digests.
+
+    format_chats leaves no nulls but in conv_id, which stays null. A conversation without a turn of
+    a role in loss_roles has no loss text. An empty table gives an empty result.
+    """
 
     def read(batches):
         for b in batches:
@@ -150,14 +154,15 @@ def digests(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
             for conv, text, found, rewrites in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 turns, loss = hashlib.sha256(), hashlib.sha256()
                 chars = 0
-                for role, body in read_marked(text):
+                back = read_marked(text)
+                for role, body in back:
                     turns.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
                 for s in found:
                     if s["role"] in loss_roles:
                         body = unescape(text[s["text_start"] : s["text_end"]])
                         chars += len(body)
                         loss.update(body.encode("utf-8", "surrogatepass"))
-                out.append((conv, len(found), turns.hexdigest(), chars, loss.hexdigest(), len(text), rewrites >= 0))
+                out.append((conv, len(back), turns.hexdigest(), chars, loss.hexdigest(), len(text), rewrites >= 0))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
             names = [p.split()[0] for p in DIGEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)

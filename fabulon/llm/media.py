@@ -2,15 +2,16 @@
 
 A container is a RIFF file of form AVI: a header list with one MJPG video stream, a movi list
 with one baseline JPEG for each frame, and an idx1 index. Reading parses the index, decodes the
-intra frames, compares luminance histograms of neighbouring frames and cuts shots where the
-difference exceeds a threshold that adapts to the file; each shot is a timed clip row.
+intra frames, compares luminance histograms of neighbouring frames and cuts shots where a
+difference stands out among the file's other differences; each shot is a timed clip row. Frames are
+small (384 payload bytes), so that all but the shortest texts have several.
 
 A payload is stored losslessly in quantised DCT coefficients, the format's unit of storage: every
 coefficient has size category 8, whose eight extra bits are one payload byte. 192 bytes are the
 three 8x8 blocks of one MCU. The Huffman tables give category 8 an eight-bit code, so entropy
 data alternates code byte and payload byte, and a restart marker ends each MCU; any baseline
-decoder can read the frames, and numpy can write and read them whole. Frames by other encoders
-go through the general decoder.
+decoder can read the frames, and numpy can write and read all frames of a file at once. Frames by
+other encoders go through the general decoder.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from fabulon.llm.common import Batches
 
 MCU = 192
-#: MCUs of a full frame, one above another: 8 x 512 pixels.
-FRAME_MCUS = 64
+#: MCUs of a full frame, one above another: 8 x 16 pixels.
+FRAME_MCUS = 2
 FPS = 25
 #: Fixed values of the JPEG standard: coefficient order of a block.
 ZIGZAG = np.array([
@@ -92,13 +93,19 @@ def _codes(spec: bytes) -> tuple[dict[tuple[int, int], int], int]:
 
 
 class _Bits:
+    """Bits of entropy data, held 64 bytes at a time."""
+
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data + b"\xff" * 8, "big"), 8 * len(data) + 64
+        self.data, self.at, self.value, self.left = data + b"\xff" * 8, 0, 0, 0
 
     def take(self, n: int) -> int:
+        if n > self.left:
+            more = self.data[self.at : self.at + 64]
+            self.value = (self.value & ((1 << self.left) - 1)) << 8 * len(more) | int.from_bytes(more, "big")
+            self.at, self.left = self.at + 64, self.left + 8 * len(more)
+            if n > self.left:
+                raise ValueError("entropy data ends early")
         self.left -= n
-        if self.left < 0:
-            raise ValueError("entropy data ends early")
         return (self.value >> self.left) & ((1 << n) - 1)
 
     def symbol(self, codes: dict[tuple[int, int], int]) -> int:
@@ -188,16 +195,21 @@ def decode_jpeg(data: bytes) -> Frame:
     return Frame(*size, [o.reshape(-1, 64) for o in out], [tables[p[3]] for p in parts], grids)
 
 
-def _fixed_width(entropy: bytes, mcus: int) -> list[np.ndarray] | None:
-    """Three coefficient arrays if every code has eight bits and category 8, else None."""
+def _fixed_width(entropy: bytes, mcus: int, whole: bool = False) -> list[np.ndarray] | None:
+    """Three coefficient arrays if every code has eight bits and category 8, else None.
+
+    whole: entropy has no stuffed zeros, and every MCU two bytes after it.
+    """
     flat = np.frombuffer(entropy, dtype=np.uint8)
-    full = mcus * (2 * MCU + 2) - 2
-    if b"\xff\x00" in entropy:
-        stuffed = np.flatnonzero((flat[:-1] == 0xFF) & (flat[1:] == 0)) + 1
-        flat = np.delete(flat, stuffed)
-    if len(flat) < full:
-        return None
-    rows = np.append(flat[:full], [0, 0]).astype(np.uint8).reshape(mcus, 2 * MCU + 2)
+    if not whole:
+        full = mcus * (2 * MCU + 2) - 2
+        if b"\xff\x00" in entropy:
+            stuffed = np.flatnonzero((flat[:-1] == 0xFF) & (flat[1:] == 0)) + 1
+            flat = np.delete(flat, stuffed)
+        if len(flat) < full:
+            return None
+        flat = np.append(flat[:full], [0, 0]).astype(np.uint8)
+    rows = flat.reshape(mcus, 2 * MCU + 2)
     if rows[:, 0 : 2 * MCU : 2].any():
         return None
     values = rows[:, 1 : 2 * MCU : 2].astype(np.int16)
@@ -229,19 +241,23 @@ def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\x00" * (len(body) % 2)
 
 
+_INDEX = np.dtype([("name", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
+
+
 def avi_of(frames: list[bytes], width: int, height: int, fps: int = FPS) -> bytes:
     """A RIFF AVI file of JPEG frames, with an idx1 index."""
-    largest = max(map(len, frames), default=0)
+    sizes = np.fromiter(map(len, frames), dtype=np.int64, count=len(frames))
+    largest = int(sizes.max(initial=0))
     main = struct.pack("<14I", 1_000_000 // fps, largest * fps, 0, 0x10, len(frames), 0, 1, largest, width, height, 0, 0, 0, 0)
     stream = b"vidsMJPG" + struct.pack("<IHHIIIIIIII4H", 0, 0, 0, 0, 1, fps, 0, len(frames), largest, 0xFFFFFFFF, 0, 0, 0, width, height)
     kind = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", width * height * 3, 0, 0, 0, 0)
     head = b"hdrl" + _chunk(b"avih", main) + _chunk(b"LIST", b"strl" + _chunk(b"strh", stream) + _chunk(b"strf", kind))
-    chunks, index, at = [], [], 4
-    for f in frames:
-        index.append(b"00dc" + struct.pack("<III", 0x10, at, len(f)))
-        chunks.append(_chunk(b"00dc", f))
-        at += len(chunks[-1])
-    return _chunk(b"RIFF", b"AVI " + _chunk(b"LIST", head) + _chunk(b"LIST", b"movi" + b"".join(chunks)) + _chunk(b"idx1", b"".join(index)))
+    index = np.zeros(len(frames), dtype=_INDEX)
+    index["name"], index["flags"], index["size"] = b"00dc", 0x10, sizes
+    ends = np.cumsum(8 + sizes + sizes % 2)
+    index["at"] = 4 + ends - 8 - sizes - sizes % 2
+    movi = b"movi" + b"".join(_chunk(b"00dc", f) for f in frames)
+    return _chunk(b"RIFF", b"AVI " + _chunk(b"LIST", head) + _chunk(b"LIST", movi) + _chunk(b"idx1", index.tobytes()))
 
 
 def read_avi(data: bytes) -> tuple[int, list[bytes]]:
@@ -260,9 +276,9 @@ def read_avi(data: bytes) -> tuple[int, list[bytes]]:
         at += 8 + n + n % 2
     if movi is None:
         return rate, []
+    entries = np.frombuffer(index[: len(index) // 16 * 16], dtype=_INDEX)
     frames = []
-    for i in range(0, len(index), 16):
-        name, _, where, n = struct.unpack("<4sIII", index[i : i + 16])
+    for name, where, n in zip(entries["name"].tolist(), entries["at"].tolist(), entries["size"].tolist(), strict=True):
         if name[2:] == b"dc":
             start = movi + where if data[movi + where : movi + where + 4] == name else where  # some writers count from the file's start
             frames.append(data[start + 8 : start + 8 + n])
@@ -270,8 +286,38 @@ def read_avi(data: bytes) -> tuple[int, list[bytes]]:
 
 
 def store(payload: bytes) -> bytes:
-    step = FRAME_MCUS * MCU
-    return avi_of([jpeg_of(payload[i : i + step]) for i in range(0, len(payload), step)], 8, 8 * min(FRAME_MCUS, len(payload) // MCU))
+    """An AVI file whose coefficients hold payload (a multiple of 192 bytes)."""
+    n, step = len(payload) // MCU, FRAME_MCUS * MCU
+    if b"\xff" in payload:  # stuffed zeros: frame by frame
+        return avi_of([jpeg_of(payload[i : i + step]) for i in range(0, len(payload), step)], 8, 8 * min(FRAME_MCUS, n))
+    rows = np.zeros((n, _ROW), dtype=np.uint8)
+    rows[:, 1 : 2 * MCU : 2] = np.frombuffer(payload, dtype=np.uint8).reshape(n, MCU)
+    rows[:, -2], rows[:, -1] = 0xFF, 0xD0 + np.arange(n) % FRAME_MCUS % 8
+    flat = rows.tobytes()
+    cuts = range(0, n, FRAME_MCUS)
+    frames = [_jpeg_head(min(FRAME_MCUS, n - i)) + flat[i * _ROW : min(i + FRAME_MCUS, n) * _ROW - 2] + b"\xff\xd9" for i in cuts]
+    return avi_of(frames, 8, 8 * min(FRAME_MCUS, n))
+
+
+#: Bytes of the entropy data of an MCU and its restart marker, and where a frame's height stands.
+_ROW, _HEIGHT = 2 * MCU + 2, 76
+
+
+def decode_frames(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Luminance (blocks x 64) of all frames, the frame of each block, and the payload that store put into them.
+
+    Frames whose header is the one that store writes are read together, others one by one.
+    """
+    counts = [int.from_bytes(f[_HEIGHT : _HEIGHT + 2], "big") // 8 for f in frames]
+    if all(0 < n <= FRAME_MCUS and f.startswith(head := _jpeg_head(n)) and len(f) == len(head) + n * _ROW for f, n in zip(frames, counts, strict=True)):
+        entropy = b"".join(f[-n * _ROW :] for f, n in zip(frames, counts, strict=True))
+        blocks = _fixed_width(entropy, sum(counts), whole=True)
+        if blocks is not None:
+            one = Frame(8, 8 * sum(counts), blocks, [np.ones(64, dtype=np.int64)] * 3, [])
+            return luminance(one), np.repeat(np.arange(len(frames)), counts), payload_of(one)
+    decoded = [decode_jpeg(f) for f in frames]
+    pixels = [luminance(f) for f in decoded]
+    return np.concatenate(pixels), np.repeat(np.arange(len(frames)), list(map(len, pixels))), b"".join(map(payload_of, decoded))
 
 
 def padded(data: bytes) -> bytes:
@@ -279,13 +325,13 @@ def padded(data: bytes) -> bytes:
 
 
 def shots(histograms: np.ndarray, spread: float = 2.0, least: float = 0.1) -> list[tuple[int, int]]:
-    """Frame ranges of shots. A cut is a difference (half the L1 distance, 0 to 1) of at least `least` that exceeds the file's mean by `spread` deviations or, with up to three frames, 0.5."""
+    """Frame ranges of shots. A cut is a difference (half the L1 distance, 0 to 1) over `least` and over `spread` times the mean of the file's other differences, however many these are."""
     n = len(histograms)
     if n == 0:
         return []
     d = np.abs(np.diff(histograms, axis=0)).sum(axis=1) / 2
-    limit = max(least, d.mean() + spread * d.std()) if n > 3 else 0.5
-    starts = [0, *(np.flatnonzero(d > limit) + 1).tolist()]
+    others = (d.sum() - d) / max(1, len(d) - 1)
+    starts = [0, *(np.flatnonzero(d > np.maximum(least, spread * others)) + 1).tolist()]
     return list(zip(starts, [*starts[1:], n], strict=True))
 
 
@@ -318,7 +364,8 @@ SCHEMA = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def read_media(media: DataFrame) -> DataFrame:
     """Digests of the payload read back from each file of store_text, and its clips.
 
-    A null or broken file has null results and says why in `error`.
+    A null or broken file has null results and says why in `error`. Repeated rows get equal results;
+    other columns are not read, and an empty table gives an empty result.
     """
     clip = pa.struct([("first", pa.int32()), ("frames", pa.int32()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("brightness", pa.float64())])
     schema = pa.schema([
@@ -336,12 +383,9 @@ def read_media(media: DataFrame) -> DataFrame:
                 data = m.as_buffer().to_pybytes()
                 try:
                     rate, frames = read_avi(data)
-                    decoded = [decode_jpeg(f) for f in frames]
-                    payload = b"".join(map(payload_of, decoded))
-                    histograms = np.zeros((len(decoded), 32))
-                    for k, f in enumerate(decoded):
-                        h = np.bincount(luminance(f).ravel() >> 3, minlength=32)
-                        histograms[k] = h / h.sum()
+                    pixels, frame, payload = decode_frames(frames) if frames else (np.zeros((0, 64), dtype=np.uint8), np.zeros(0, dtype=np.int64), b"")
+                    histograms = np.bincount((frame[:, None] * 32 + (pixels >> 3)).ravel(), minlength=32 * len(frames)).reshape(len(frames), 32)
+                    histograms = histograms / np.maximum(histograms.sum(axis=1, keepdims=True), 1)
                     level = histograms @ (np.arange(32) * 8 + 3.5)
                     clips = [{"first": a, "frames": z - a, "start_ms": a * rate / 1000, "end_ms": z * rate / 1000, "brightness": round(float(level[a:z].mean()), 3)} for a, z in shots(histograms)]
                     row = (i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), len(frames), clips, None)

@@ -5,8 +5,11 @@ longest phrases that occur in the training text (Ziv and Merhav); phrases * log2
 length) / text length estimates the bits a letter needs under that language. The language with
 the fewest normalised phrases wins.
 
-Parsing runs in numpy over many blocks at once: a text is cut into blocks of BLOCK letters, no
-phrase crosses a block's end, and each step moves every block under every language one letter on.
+Parsing runs in numpy over many blocks at once: a text is cut into blocks of BLOCK letters, and each
+step moves every block under every language one letter on. A block is first parsed as if a phrase
+began with it; then once more from the state in which the block before it ended, until both
+parses are in one state, from where on they agree. So phrases run across blocks, and the counts are
+those of one pass over the whole text.
 """
 
 from __future__ import annotations
@@ -19,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabulon.llm.common import along, held_out, slices, spread_key, with_types
+from fabulon.llm.common import along, arrived, held_out, slices, spread_key, travelling, with_types
 
 BLOCK = 1024
 NONE = "und"
-_TURN = np.int32(1 << 30)
+#: Entries of one language's table of states and letters, eight bytes each.
+DENSE = 1 << 23
+_BIT = 40
+_TURN = np.int64(1 << _BIT)
 
 
 def letters(text: str) -> str:
@@ -32,38 +38,61 @@ def letters(text: str) -> str:
 
 
 class Automata:
-    """Transition tables of one suffix automaton for each language, as one array.
+    """Suffix automata, one for each language, as arrays; each language has an alphabet of its own.
 
-    next[state * width + class] is the state after a letter; where the current phrase can't go on
-    the entry is the state after starting a new phrase with that letter, plus _TURN. A letter that
-    the language's training text lacks is a phrase of its own: it leads to a last state that any
-    letter leaves by a new phrase. Letters that no training text has are class 0.
+    A state is the place of its row in the array: next[state + letter] is the state after a letter;
+    where the current phrase can't go on the entry is the state after starting a new phrase with that
+    letter, plus _TURN. A letter that the language's training text lacks is a phrase of its own: it
+    is class 0 and leads to a last state that any letter leaves by a new phrase. A language whose
+    table would have more than DENSE entries keeps its edges sorted instead.
     """
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         alphabet = sorted(set("".join(texts.values())))
-        self.classes = np.zeros(0x110000, dtype=np.uint8 if len(alphabet) < 255 else np.uint16)
+        self.classes = np.zeros(0x110000, dtype=np.uint16 if len(alphabet) < 65535 else np.uint32)
         self.classes[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
-        self.width = len(alphabet) + 1
-        tables, roots, base = [], [], 0
-        for lang in self.langs:
-            edges = self._build([int(self.classes[ord(c)]) for c in texts[lang]])
-            root = np.full(self.width, base + len(edges), dtype=np.int32)
-            for c, s in edges[0].items():
-                root[c] = base + s
-            table = np.tile(root + _TURN, (len(edges) + 1, 1))
-            table[0] = root
-            at = [(s, c, t) for s, e in enumerate(edges) for c, t in e.items()]
+        self.letter = np.zeros((len(self.langs), len(alphabet) + 1), dtype=np.int64)  # of each language: class to its own letter number
+        self.roots = np.zeros(len(self.langs), dtype=np.int64)
+        self.sparse: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        tables, base = [], 0
+        for i, lang in enumerate(self.langs):
+            own = sorted(set(texts[lang]))
+            self.letter[i, self.classes[[ord(c) for c in own]]] = np.arange(1, len(own) + 1)
+            width = len(own) + 1
+            edges = self._build([int(self.letter[i, self.classes[ord(c)]]) for c in texts[lang]])
+            at = [(s * width, c, t * width) for s, e in enumerate(edges) for c, t in e.items()]
             s, c, t = np.array(at, dtype=np.int64).reshape(-1, 3).T
-            table[s, c] = base + t
+            root = np.full(width, len(edges) * width, dtype=np.int64)
+            root[list(edges[0])] = [x * width for x in edges[0].values()]
+            if (len(edges) + 1) * width > DENSE:
+                order = np.argsort(s + c)
+                self.sparse[i] = (s + c)[order], t[order], root
+                continue
+            table = np.tile(root + (base + _TURN), len(edges) + 1)
+            table[:width] = root + base
+            table[s + c] = t + base
             tables.append(table)
-            roots.append(base)
-            base += len(edges) + 1
-        self.next = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
-        self.roots = np.array(roots, dtype=np.int32)
+            self.roots[i] = base
+            base += len(table)
+        self.next = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int64)
+        self.dense = np.array([i for i in range(len(self.langs)) if i not in self.sparse], dtype=np.int64)
         self.bits = np.array([np.log2(max(2, len(texts[x]))) for x in self.langs])
 
+    def step(self, state: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The state of each language (row) and block (column) after a letter, plus _TURN where it begins a phrase."""
+        if not self.sparse:
+            return self.next.take(state + self.letter[:, classes])
+        out = np.empty_like(state)
+        out[self.dense] = self.next.take(state[self.dense] + self.letter[self.dense][:, classes])
+        for i, (keys, to, root) in self.sparse.items():
+            own = self.letter[i, classes]
+            want = state[i] + own
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            new = root[own] + np.where(state[i] == 0, 0, _TURN)
+            out[i] = np.where((keys[at] == want) & (own > 0), to[at], new)
+        return out
+
     @staticmethod
     def _build(text: list[int]) -> list[dict[int, int]]:
         """The suffix automaton: edges of each state."""
@@ -120,16 +149,46 @@ class Automata:
         first = np.cumsum(blocks) - blocks
         at = starts[owner] + (np.arange(len(owner)) - first[owner]) * BLOCK
         length = np.minimum(BLOCK, starts[owner + 1] - at)
+        head = at == starts[owner]
+        # Each block by itself, the longest first, so that those that still go on are the first ones.
         order = np.argsort(-length, kind="stable")
-        owner, at, length = owner[order], at[order], length[order]
-        active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")
+        active = np.searchsorted(-length[order], -np.arange(1, BLOCK + 1), side="right")
         state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        count = np.ones((langs, len(owner)), dtype=np.int32)
-        for step in range(int(length[0]) if len(length) else 0):
-            k = active[step]
-            moved = self.next.take(state[:, :k] * np.int32(self.width) + codes[at[:k] + step])
-            count[:, :k] += moved >> 30
+        count = np.zeros((langs, len(owner)), dtype=np.int64)
+        for i in range(int(length[order[0]]) if len(order) else 0):
+            k = active[i]
+            moved = self.step(state[:, :k], codes[at[order[:k]] + i])
+            count[:, :k] += moved >> _BIT
             state[:, :k] = moved & (_TURN - 1)
+        own_end, own_count = np.empty_like(state), np.empty_like(count)
+        own_end[:, order], own_count[:, order] = state, count
+        end, count = own_end.copy(), own_count + head  # the phrase that a text begins with
+        # Again from where the block before really ended: all but the first blocks, then those after a block whose end that changed.
+        todo = np.flatnonzero(~head)
+        while len(todo):
+            true, alone = end[:, todo - 1], np.repeat(self.roots[:, None], len(todo), axis=1)
+            more, live, cols = np.zeros((langs, len(todo)), dtype=np.int64), np.arange(len(todo)), todo
+            last = own_end[:, todo]
+            for i in range(BLOCK):
+                going = (length[cols] > i) & (true != alone).any(axis=0)
+                if not going.all():
+                    ended = live[(length[cols] <= i) & (true != alone).any(axis=0)]
+                    last[:, ended] = true[:, np.isin(live, ended)]
+                    live, cols, true, alone = live[going], cols[going], true[:, going], alone[:, going]
+                    if len(live) == 0:
+                        break
+                letter = codes[at[cols] + i]
+                a, b = self.step(true, letter), self.step(alone, letter)
+                more[:, live] += (a >> _BIT) - (b >> _BIT)
+                true, alone = a & (_TURN - 1), b & (_TURN - 1)
+            else:
+                last[:, live] = np.where(true != alone, true, last[:, live])
+            count[:, todo] = own_count[:, todo] + more
+            changed = (end[:, todo] != last).any(axis=0)
+            end[:, todo] = last
+            todo = todo[changed] + 1
+            todo = todo[todo < len(owner)]
+            todo = todo[~head[todo]]
         out = np.zeros((n, langs))
         for i in range(langs):
             out[:, i] = np.bincount(owner, weights=count[i], minlength=n)
@@ -167,8 +226,9 @@ def training_texts(docs: DataFrame, rows: int, chars: int, lang_col: str = "lang
     picked = docs.filter(ok).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), spread_key(F.col(id_col)).alias("_h"))
     # The limit by rank is applied in each task before rows move, so a language with most of the rows moves no more than others.
     picked = picked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows).drop("_r")
-    texts = docs.filter(ok).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(picked), ["lang", "id"]).select("lang", "_h", "id", "text").collect()
+    # Twice as many characters of a text as are kept of all; ids that repeat count once.
+    texts = docs.filter(ok).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, 2 * chars).alias("text"))
+    got = texts.join(F.broadcast(picked.distinct()), ["lang", "id"]).groupBy("lang", "_h", "id").agg(F.min("text").alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r.lang, r._h, r.id, r.text)):
         out.setdefault(r.lang, []).append(letters(r.text))
@@ -182,18 +242,18 @@ def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc
     Learns from at most `rows` rows and `chars` letters for each value of lang_col in `train`
     (docs itself by default), never from held-out rows. A text that is null or has no letter is
     `und` with score 0, as is every text where nothing can be learned. Ties go to the first
-    language by name. Repeated rows get equal results; whole texts are parsed.
+    language by name. Repeated rows get equal results; whole texts are parsed. Columns not named
+    are not read, and an empty table gives an empty result.
     """
     texts = training_texts(docs if train is None else train, rows, chars, lang_col, id_col, text_col)
 
     def run(batches):
         model = automata(texts)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 20):
                 langs, scores = model.classify(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *map(b.column, kept)], names=["doc_id", "held_out", "lang_pred", "score", *kept])
 
-    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), *along(docs, carry))
-    kept = ["carried"] * bool(carry)
-    out = rows_.mapInArrow(run, with_types("doc_id long, held_out boolean, lang_pred string, score double", rows_, *kept))
-    return out.select("*", *[F.col("carried")[c].alias(c) for c in carry]).drop("carried")
+    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), *along(docs, carry, text_col))
+    kept, schema = travelling(carry, text_col), "doc_id long, held_out boolean, lang_pred string, score double"
+    return arrived(rows_.mapInArrow(run, with_types(schema, rows_, *kept)), schema, carry, text_col)

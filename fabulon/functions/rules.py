@@ -182,6 +182,11 @@ SPEECH_VERBS = (
     "repeats|stated|states|remarked|remarks|noted|notes|agreed|agrees|admitted|admits|confessed|confesses|warned|warns|ordered|orders|"
     "commanded|commands|announced|announces|hollered|instructed|instructs"
 )
+#: The verbs of speech that pronouns are resolved by.
+TAG_VERBS = (
+    "said|replied|answered|asked|shouted|yelled|screamed|roared|whispered|murmured|muttered|mumbled|called|cried|exclaimed|declared|continued|added|"
+    "responded|retorted|snapped|laughed|chuckled|sighed|sneered|scoffed|snorted"
+)
 ACTION_VERBS = (
     "nodded|frowned|smiled|turned|looked|glanced|stepped|walked|raised|lowered|shook|bowed|paused|hesitated|sighed|stood|sat|leaned|gestured|"
     "pointed|waved|shrugged|blinked|stared|gazed|stretched"

@@ -206,7 +206,7 @@ def identity_targets(gold: DataFrame) -> DataFrame:
 
 def calibration_samples(scored: DataFrame, gold: DataFrame) -> DataFrame:
     """Scored pairs (mention_id, target_id, score) labelled by gold (mention_id, identity): whether the pair's target is the identity's."""
-    truth = gold.join(identity_targets(gold), "identity").select("mention_id", F.col("target_id").alias("_t"))
+    truth = gold.select("mention_id", "identity").join(identity_targets(gold), "identity").select("mention_id", F.col("target_id").alias("_t"))
     return scored.join(truth, "mention_id").select("mention_id", "target_id", "score", (F.col("target_id") == F.col("_t")).alias("correct"))
 
 

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right as bisect
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from fabulon.functions import names, rules
 from fabulon.functions.text import find_all
 
 #: What folding drops between the tokens of a name.
 _DROPPED = r"[\s'’\-–—.·]"
+_TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 #: The most tokens of a name that is looked up.
 TOKENS = 6
 #: Capitalised words that begin sentences rather than name anyone, and particles in place of names.
@@ -63,22 +70,59 @@ def admitted(aliases: DataFrame, blocked: tuple[str, ...] = ()) -> DataFrame:
     return a.filter(ok).groupBy("key").agg(F.max(F.struct("alias", *rest)).alias("s")).select("key", "s.*")
 
 
-def _spans(text: Column) -> Column:
-    """array of (start, end, key) of all runs of one to TOKENS tokens."""
-    t = find_all(text, r"[\p{L}\p{N}]+")
-    span = lambda a, z: F.struct(a["start"].alias("start"), z["end"].alias("end"), F.regexp_replace(F.lower(F.substr(text, a["start"] + 1, z["end"] - a["start"])), _DROPPED, "").alias("key"))
-    return F.flatten(F.transform(t, lambda x, i: F.transform(F.sequence(i, F.least(i + TOKENS - 1, F.size(t) - 1)), lambda j: span(x, F.get(t, j)))))
+_LED = re.compile(rf"(?:^|\W)(?:{rules.DETERMINERS})\s+$")
+_CREDIT = re.compile(r"\b(?:" + "|".join(map(re.escape, rules.CREDITS)) + r")\b")
+
+
+def _runs(texts: DataFrame, by: list[str], text: str, around: int = 0) -> DataFrame:
+    """by, start, end, key, surface of all runs of one to TOKENS tokens of each text, in one pass; with `around`, whether a determiner leads a run and whether credit vocabulary stands within so many characters of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column("_t").to_pylist()):
+                t = t or ""
+                at = [(m.start(), m.end()) for m in _TOKEN.finditer(t)]
+                low = [re.sub(_DROPPED, "", t[a:z].lower()) for a, z in at]
+                gap = [re.sub(_DROPPED, "", t[at[j][1] : at[j + 1][0]]) for j in range(len(at) - 1)]
+                credit = [(m.start(), m.end()) for m in _CREDIT.finditer(t)] if around else []
+                ends = [z for _, z in credit]
+                out = [[], [], [], [], [], []]
+                for j, (a, _) in enumerate(at):
+                    key, led = "", bool(around and _LED.search(t[max(0, a - 16) : a]))
+                    k = bisect(ends, a - around)  # the first credit that is not wholly before the window
+                    k += k < len(credit) and credit[k][0] < a - around
+                    for n in range(j, min(j + TOKENS, len(at))):
+                        key += (gap[n - 1] if n > j else "") + low[n]
+                        z = at[n][1]
+                        for o, v in zip(out, (a, z, key, t[a:z], led, k < len(credit) and credit[k][0] >= a - around and credit[k][1] <= z + around), strict=True):
+                            o.append(v)
+                if out[0]:
+                    own = pa.array([i] * len(out[0]), pa.int64())
+                    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(own) for c in by], *[pa.array(o, k) for o, k in zip(out, kinds, strict=True)]], names=[*by, "start", "end", "key", "surface", "led", "near"])
+
+    rows = texts.select(*by, F.col(text).alias("_t"))
+    kinds = StructType.fromDDL("start int, end int, key string, surface string, led boolean, near boolean")
+    return rows.mapInArrow(run, StructType([*[rows.schema[c] for c in by], *kinds.fields]))
+
+
+def _kept(n: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+    """Of each row's hits the numbers of those that stay, by place."""
+    out = []
+    for size, a, z in zip(n.to_pylist(), start.to_pylist(), end.to_pylist(), strict=True):
+        taken, own = np.zeros(max(z, default=0) + 1, dtype=bool), []
+        for i in sorted(range(len(size)), key=lambda i: (-size[i], a[i])):  # noqa: B023
+            if not taken[a[i] : z[i]].any():
+                taken[a[i] : z[i]] = True
+                own.append(i)
+        out.append(sorted(own, key=lambda i: a[i]))  # noqa: B023
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def longest_first(hits: Column) -> Column:
-    """Of (start, end, ...) those that stay when longer ones, then earlier ones, go first and others that touch them are dropped; by place.
-
-    Needs fields n (the length that counts), start and end.
-    """
-    none = F.filter(hits, lambda h: F.lit(False))
-    order = lambda a, b: F.when(a["n"] != b["n"], F.when(a["n"] > b["n"], -1).otherwise(1)).when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
-    kept = F.aggregate(F.array_sort(hits, order), none, lambda acc, h: F.when(F.exists(acc, lambda k: (k["start"] < h["end"]) & (h["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(h))))
-    return F.array_sort(kept, lambda a, b: F.when(a["start"] < b["start"], -1).otherwise(1))
+    """Of an array of (n, start, end, ...) those that stay when longer ones, then earlier ones, go first and others that touch them are dropped; by place. n: the length that counts."""
+    part = lambda c: F.transform(hits, lambda h: h[c])
+    return F.transform(F.arrow_udf(_kept, ArrayType(IntegerType()))(part("n"), part("start"), part("end")), lambda i: F.get(hits, i))
 
 
 def find(texts: DataFrame, by: list[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
@@ -88,10 +132,9 @@ def find(texts: DataFrame, by: list[str], dictionary: DataFrame, text: str = "te
     may be as large as it likes; a hit never begins or ends inside a word. Overlaps of one text are settled
     longest first. A text's hits are as many as its words at most.
     """
-    runs = texts.select(*by, text, F.explode(_spans(F.col(text))).alias("r")).select(*by, text, "r.*")
     rest = [c for c in dictionary.columns if c != "key"]
-    hits = runs.join(dictionary, "key").select(*by, F.struct(F.length("key").alias("n"), "start", "end", F.substr(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"), *rest).alias("h"))
-    kept = hits.groupBy(*by).agg(F.collect_list("h").alias("hs")).select(*by, F.explode(longest_first(F.col("hs"))).alias("h"))
+    hits = _runs(texts, by, text).select(*by, "key", "start", "end", "surface").join(dictionary, "key").select(*by, F.struct(F.length("key").alias("n"), "start", "end", "surface", *rest).alias("h"))
+    kept = hits.groupBy(*by).agg(F.collect_list("h").alias("hs")).withColumn("hs", longest_first(F.col("hs"))).select(*by, F.explode("hs").alias("h"))
     return kept.select(*by, "h.start", "h.end", "h.surface", *[F.col("h")[c].alias(c) for c in rest])
 
 
@@ -191,14 +234,11 @@ def commonness(texts: DataFrame, candidates: DataFrame, text: str = "text") -> D
 
     A surface's words are keys of runs of tokens, so that all candidates are measured in one pass over the texts.
     """
-    low = texts.select(F.lower(F.col(text)).alias("_t"))
-    runs = low.select("_t", F.explode(_spans(F.col("_t"))).alias("r")).select("_t", "r.*")
+    runs = _runs(texts.select(F.lower(F.col(text)).alias("_t")), [], "_t", 80).select("key", F.col("surface").alias("_said"), "led")
     keyed = candidates.select(F.lower(F.trim("surface")).alias("surface")).distinct().filter(F.length("surface") >= 2)
     forms = keyed.select("surface", F.explode(F.array(F.struct(folded(F.col("surface")).alias("key"), F.lit(False).alias("plural")), F.struct(folded(F.concat("surface", F.lit("s"))).alias("key"), F.lit(True).alias("plural")))).alias("f")).select("surface", "f.*")
-    said = F.substr(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start"))
-    hits = runs.join(forms, "key").filter(said == F.when(F.col("plural"), F.concat("surface", F.lit("s"))).otherwise(F.col("surface")))
-    led = F.substr(F.col("_t"), F.greatest(F.col("start") - 15, F.lit(1)), F.least(F.col("start"), F.lit(16))).rlike(rf"(?:^|\W)(?:{rules.DETERMINERS})\s+$")
-    counts = hits.groupBy("surface").agg(F.sum((~F.col("plural")).cast("long")).alias("total"), F.sum((~F.col("plural") & led).cast("long")).alias("_d"), F.sum(F.col("plural").cast("long")).alias("_p"))
+    hits = runs.join(forms, "key").filter(F.col("_said") == F.when(F.col("plural"), F.concat("surface", F.lit("s"))).otherwise(F.col("surface")))
+    counts = hits.groupBy("surface").agg(F.sum((~F.col("plural")).cast("long")).alias("total"), F.sum((~F.col("plural") & F.col("led")).cast("long")).alias("_d"), F.sum(F.col("plural").cast("long")).alias("_p"))
     out = keyed.join(counts, "surface", "left").select(
         "surface", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce(F.when(F.col("total") > 0, F.col("_d") / F.col("total")), F.lit(0.0)).alias("determiner_rate"),
         F.coalesce(F.when(F.col("total") > 0, F.col("_p") / (F.col("total") + F.col("_p"))), F.lit(0.0)).alias("plural_rate"),
@@ -209,12 +249,9 @@ def commonness(texts: DataFrame, candidates: DataFrame, text: str = "text") -> D
 def credited(texts: DataFrame, candidates: DataFrame, text: str = "text", rate: float = 0.5, around: int = 80) -> DataFrame:
     """Candidates (surface) with three occurrences or more of which at least `rate` stand within `around` characters of credit vocabulary."""
     keyed = candidates.select(F.lower(F.trim("surface")).alias("surface")).distinct().filter(F.length("surface") >= 3)
-    low = texts.select(F.lower(F.col(text)).alias("_t"))
-    runs = low.select("_t", F.explode(_spans(F.col("_t"))).alias("r")).select("_t", "r.*")
-    hits = runs.join(keyed.withColumn("key", folded(F.col("surface"))), "key").filter(F.substr(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("surface"))
-    start = F.greatest(F.col("start") - around, F.lit(0))
-    near = F.substr(F.col("_t"), start + 1, F.col("end") + around - start).rlike(r"\b(?:" + "|".join(map(re.escape, rules.CREDITS)) + r")\b")
-    return hits.groupBy("surface").agg(F.count("*").alias("n"), F.avg(near.cast("double")).alias("rate")).filter((F.col("n") >= 3) & (F.col("rate") >= rate))
+    runs = _runs(texts.select(F.lower(F.col(text)).alias("_t")), [], "_t", around).select("key", F.col("surface").alias("_said"), "near")
+    hits = runs.join(keyed.withColumn("key", folded(F.col("surface"))), "key").filter(F.col("_said") == F.col("surface"))
+    return hits.groupBy("surface").agg(F.count("*").alias("n"), F.avg(F.col("near").cast("double")).alias("rate")).filter((F.col("n") >= 3) & (F.col("rate") >= rate))
 
 
 def support_tier(n: Column) -> Column:

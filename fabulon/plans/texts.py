@@ -294,15 +294,6 @@ def traits_gender(s: SparkSession, d: str) -> DataFrame:
     return g.select("source", "m", "f", F.when((F.col("m") + F.col("f") >= 6) & (F.col("m") / (F.col("m") + F.col("f")) >= 0.7), "m").when((F.col("m") + F.col("f") >= 6) & (F.col("f") / (F.col("m") + F.col("f")) >= 0.7), "f").alias("gender"))
 
 
-def age_band(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "part").groupBy(F.when(F.col("p_size") < 13, "child").when(F.col("p_size") < 26, "young").when(F.col("p_size") < 60, "adult").otherwise("old").alias("band")).agg(F.count("*").alias("n"))
-
-
-def pov_holder(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "events").groupBy(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("chapter"), "user_id").agg(F.count("*").alias("n"))
-    return c.groupBy("chapter").agg(F.max_by("user_id", F.struct("n", -F.col("user_id"))).alias("holder"), F.max("n").alias("n"))
-
-
 def review_report(s: SparkSession, d: str) -> DataFrame:
     l = table(s, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"), F.countDistinct("l_returnflag").alias("n_types"), F.mode("l_linestatus", True).alias("common"))
     return l.orderBy(F.col("n").desc(), "l_suppkey").limit(50)
@@ -421,10 +412,8 @@ SQL = {
         t AS (SELECT w[CAST(floor(len(w) * 0.05::DOUBLE) AS INTEGER) + 1] AS l, r[CAST(floor(len(r) * 0.05::DOUBLE) AS INTEGER) + 1] AS n FROM a), u AS (SELECT l, least(n, l - 0.05::DOUBLE) AS m FROM t)
         SELECT round(CASE WHEN m < l THEN l ELSE 0.8 END, 6) AS link_threshold, round(CASE WHEN m < l THEN m ELSE 0.35 END, 6) AS new_threshold FROM u""",
     "prominence": "SELECT user_id, CASE WHEN count(*) >= 300 THEN 'PRINCIPAL' WHEN count(*) >= 30 THEN 'RECURRING' ELSE 'MINOR' END AS tier FROM events GROUP BY 1",
-    "age_band": "SELECT CASE WHEN p_size < 13 THEN 'child' WHEN p_size < 26 THEN 'young' WHEN p_size < 60 THEN 'adult' ELSE 'old' END AS band, count(*) AS n FROM part GROUP BY 1",
     "traits_gender": r"""WITH g AS (SELECT source, CAST(sum(len(regexp_extract_all(text, '(?i)\b(he|his|him)\b'))) AS BIGINT) AS m, CAST(sum(len(regexp_extract_all(text, '(?i)\b(she|her)\b'))) AS BIGINT) AS f FROM documents WHERE lang = 'en' GROUP BY 1)
         SELECT source, m, f, CASE WHEN m + f >= 6 AND m / (m + f) >= 0.7 THEN 'm' WHEN m + f >= 6 AND f / (m + f) >= 0.7 THEN 'f' END AS gender FROM g""",
-    "pov_holder": "WITH c AS (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS ch, user_id, count(*) AS n FROM events GROUP BY ALL) SELECT CAST(ch AS INTEGER) AS chapter, (list(user_id ORDER BY n DESC, user_id))[1] AS holder, max(n) AS n FROM c GROUP BY 1",
     "review_report": "WITH c AS (SELECT l_suppkey, l_linestatus, count(*) AS k FROM lineitem GROUP BY ALL), m AS (SELECT l_suppkey, (list(l_linestatus ORDER BY k DESC, l_linestatus))[1] AS common FROM c GROUP BY 1) SELECT l_suppkey, count(*) AS n, min(l_orderkey) AS first, max(l_orderkey) AS last, count(DISTINCT l_returnflag) AS n_types, any_value(common) AS common FROM lineitem JOIN m USING (l_suppkey) GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 50",
     "payload_statistics": "WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT count(*) AS n_targets, CAST(sum(n) AS BIGINT) AS n_mentions, CAST(sum(CASE WHEN n <= 60 THEN 1 ELSE 0 END) AS BIGINT) AS n_small FROM c",
     "grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",

@@ -24,7 +24,10 @@ _QUOTE_MARKS = "“‟‘‛\"'「『«”„’‚」』»"
 
 
 def find_all(text: Column, pattern: str) -> Column:
-    """array of (start, end, text) of all matches, offsets from 0; null text: none."""
+    """array of (start, end, text) of all matches, offsets from 0; null text: none.
+
+    For blocks and spans: places are added up one by one into an array, which grows with the square of a text's matches.
+    """
     text = F.coalesce(text, F.lit(""))
     found, pieces = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
     both = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(found), F.lit(0))), found, lambda p, m: F.struct(F.length(p).alias("before"), m.alias("text")))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: Bytes of output that a generator of Arrow batches gathers before it hands a batch on.
 FLUSH_BYTES = 8 << 20
@@ -34,6 +35,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches, and at their end the memory that a Python process would keep for its next task: hash tables, and what the allocator holds."""
+    try:
+        yield from batches
+    finally:
+        Rolling._up = Rolling._down = np.ones(1, dtype=np.uint64)
+        Stretches._up, Stretches._down = [], []
+        gc.collect(0)
+        with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df through run, by Arrow batches; memory goes back when a task ends."""
+    return df.mapInArrow(lambda batches: released(run(batches)), schema)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Steps carried out inside send at most so many rows to Python at once: for rows of whole sets, ten times as long as texts' rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,33 +78,25 @@ def spread_key(*cols: Column) -> Column:
     return F.xxhash64(F.lit(0x5EED), *cols)
 
 
-def along(docs: DataFrame, carry: tuple[str, ...], text_col: str) -> list[Column]:
-    """The columns named in carry as one column "carried", or none; the text travels anyway, once."""
-    rest = [c for c in carry if c != text_col]
-    return [F.struct(*[docs[c] for c in rest]).alias("carried")] * bool(rest)
+def judged(texts: Column, judge: Callable[[], Callable[[pa.Array], pa.Array]], ddl: str) -> Column:
+    """A column made of each text in Python: judge() loads a model once for each task, and what it gives makes of an array of texts an array of results.
 
+    Only texts travel to Python and only results come back; the other columns of a row wait in the JVM. Texts come
+    in slices of a megabyte. The column counts as nondeterministic, so that a filter on it does not make it twice.
+    """
 
-def travelling(carry: tuple[str, ...], text_col: str) -> list[str]:
-    """The columns that a function of batches hands on unchanged."""
-    return ["carried"] * any(c != text_col for c in carry) + ["text"] * (text_col in carry)
-
-
-def arrived(out: DataFrame, ddl: str, carry: tuple[str, ...], text_col: str) -> DataFrame:
-    """The columns of ddl, and those named in carry under their names."""
-    return out.select(*[f.name for f in StructType.fromDDL(ddl)], *[(F.col("text") if c == text_col else F.col("carried")[c]).alias(c) for c in carry])
-
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = judge()
 
-def with_types(ddl: str, source: DataFrame, *names: str) -> StructType:
-    """The schema of ddl and the fields of source that are named."""
-    return StructType([*StructType.fromDDL(ddl).fields, *[source.schema[n] for n in names]])
+        def each():
+            for a in arrays:
+                batch = pa.RecordBatch.from_arrays([a], names=["text"])
+                parts = [own(b.column("text")) for b in slices(batch, "text", 1 << 20)]
+                yield pa.concat_arrays(parts) if parts else own(a)
 
+        yield from released(each())
 
-def once(batches):
-    """Of the rows of a task that have one mark the first."""
-    seen: set[int] = set()
-    for b in batches:
-        new = [m not in seen and not seen.add(m) for m in b.column("mark").to_pylist()]
-        yield b.filter(pa.array(new, pa.bool_()))
+    return F.arrow_udf(run, ddl).asNondeterministic()(texts)
 
 
 class Batches:

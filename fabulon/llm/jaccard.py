@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabulon.llm.common import Stretches, checkpointed, groups_of, joined_bytes, mixed, partitions, slices
+from fabulon.llm.common import Stretches, checkpointed, groups_of, joined_bytes, mapped, mixed, partitions, slices, small_batches
 from fabulon.llm.graph import components
 
 #: Points of a leaf, children of a node.
@@ -345,12 +345,12 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([frequency(v).tobytes() for v in sums.values()], pa.binary())], names=["n", "point"])
 
-    measured = checkpointed(source.mapInArrow(measure, "doc_id long, n long, key long, is_doc boolean, point binary" + ", mark long" * bool(mark_col)))
+    measured = checkpointed(source.transform(mapped, measure, "doc_id long, n long, key long, is_doc boolean, point binary" + ", mark long" * bool(mark_col)))
     points = measured.filter("is_doc").groupBy(F.col("key").alias("set_id")).agg(F.min("n").alias("n"), F.min("point").alias("point"))
     rows = measured.filter("is_doc").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_id"), *mark)
     # Two bytes for each of COUNTERS counters, whatever the corpus.
     frequent = np.zeros(COUNTERS, dtype="<u2")
-    for r in measured.filter("not is_doc").select("n", "point").repartition(width, "n").mapInArrow(added, "n long, point binary").collect():
+    for r in measured.filter("not is_doc").select("n", "point").repartition(width, "n").transform(mapped, added, "n long, point binary").collect():
         frequent[r.n * COUNTER_BLOCK : (r.n + 1) * COUNTER_BLOCK] = np.frombuffer(r.point, dtype="<u2")
     sent = spark.sparkContext.broadcast(frequent)
     del frequent
@@ -382,8 +382,8 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
             if len(s):
                 yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(s)], names=["tree", "set_id"])
 
-    dealt = source.mapInArrow(keys, "key long, set_id long").repartition(width, "key").sortWithinPartitions("key", "set_id")
-    members = checkpointed(dealt.mapInArrow(trees, "tree long, set_id long").distinct())
+    dealt = source.transform(mapped, keys, "key long, set_id long").repartition(width, "key").sortWithinPartitions("key", "set_id")
+    members = checkpointed(dealt.transform(mapped, trees, "tree long, set_id long").distinct())
 
     def whole(batches):
         seen: set[int] = set()  # repeated rows meet in one task
@@ -447,10 +447,11 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
         if pairs.count() <= FEW:  # two ids for each pair at most: small enough to send; else texts are dealt by id
             one = F.broadcast(one)
         # Only the sets in some pair are made again, from the text of one document each.
-        sets = checkpointed(source.join(one, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(whole, "set_id long, hashes binary"))
-        x = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
-        y = sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
-        return checkpointed(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"))
+        with small_batches(spark):
+            sets = checkpointed(source.join(one, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").transform(mapped, whole, "set_id long, hashes binary"))
+            x = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
+            y = sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
+            return checkpointed(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").transform(mapped, test, "a long, b long"))
 
     def close(batches):
         """Rows of a tree that have another of a size that allows the similarity."""
@@ -466,8 +467,8 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
     # and such a join can become a broadcast at run time, which leaves the rows where they are.
     by_tree = lambda df, *order: df.repartition(width, F.xxhash64("tree")).sortWithinPartitions("tree", *order)
     found = "a long, b long, tree long"
-    near = checkpointed(by_tree(members.join(points.select("set_id", "n"), "set_id"), "n", "set_id").mapInArrow(close, "tree long, set_id long"))
-    pairs = checkpointed(by_tree(near.join(points, "set_id"), "set_id").mapInArrow(lambda b: searched(b, 0), found))
+    near = checkpointed(by_tree(members.join(points.select("set_id", "n"), "set_id"), "n", "set_id").transform(mapped, close, "tree long, set_id long"))
+    pairs = checkpointed(by_tree(near.join(points, "set_id"), "set_id").transform(mapped, lambda b: searched(b, 0), found))
     links = verified(pairs)
     # A tree in which no set found a partner has none for the later rounds either.
     seats = checkpointed(near.join(pairs.select("tree").distinct(), "tree", "left_semi").join(points, "set_id"))
@@ -475,7 +476,7 @@ def links_and_sets(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
         classes = checkpointed(components(links))
         own = seats.join(classes, seats["set_id"] == classes["id"], "left").select("tree", "set_id", "n", "point", F.coalesce("component", "set_id").alias("class"))
         split = own.groupBy("tree").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("tree")
-        links = links.unionByName(verified(by_tree(own.join(split, "tree", "left_semi"), "set_id").mapInArrow(lambda b, r=round_: searched(b, r), found)))
+        links = links.unionByName(verified(by_tree(own.join(split, "tree", "left_semi"), "set_id").transform(mapped, lambda b, r=round_: searched(b, r), found)))
     return rows, links
 
 

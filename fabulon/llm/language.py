@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabulon.llm.common import along, arrived, held_out, slices, spread_key, travelling, with_types
+from fabulon.llm.common import held_out, judged, spread_key
 
 BLOCK = 1024
 NONE = "und"
 #: Entries of one language's table of states and letters, eight bytes each.
 DENSE = 1 << 23
-_BIT = 40
-_TURN = np.int64(1 << _BIT)
+#: Bits of a place in the tables: 30 in four-byte tables, 40 in eight-byte ones, which larger models get.
+_BITS = {np.dtype(np.int32): 30, np.dtype(np.int64): 40}
 
 
 def letters(text: str) -> str:
@@ -42,7 +42,7 @@ class Automata:
 
     A state is the place of its row in the array: next[state + letter] is the state after a letter;
     where the current phrase can't go on the entry is the state after starting a new phrase with that
-    letter, plus _TURN. A letter that the language's training text lacks is a phrase of its own: it
+    letter, plus `turn`. A letter that the language's training text lacks is a phrase of its own: it
     is class 0 and leads to a last state that any letter leaves by a new phrase. A language whose
     table would have more than DENSE entries keeps its edges sorted instead.
     """
@@ -52,15 +52,19 @@ class Automata:
         alphabet = sorted(set("".join(texts.values())))
         self.classes = np.zeros(0x110000, dtype=np.uint16 if len(alphabet) < 65535 else np.uint32)
         self.classes[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
-        self.letter = np.zeros((len(self.langs), len(alphabet) + 1), dtype=np.int64)  # of each language: class to its own letter number
-        self.roots = np.zeros(len(self.langs), dtype=np.int64)
+        letter = np.zeros((len(self.langs), len(alphabet) + 1), dtype=np.int64)  # of each language: class to its own letter number
+        roots = np.zeros(len(self.langs), dtype=np.int64)
         self.sparse: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        states = sum(2 * len(t) * (len(set(t)) + 1) for t in texts.values())
+        self.kind = np.dtype(np.int32 if states < 1 << 30 else np.int64)
+        self.bit = _BITS[self.kind]
+        self.turn = self.kind.type(1 << self.bit)
         tables, base = [], 0
         for i, lang in enumerate(self.langs):
             own = sorted(set(texts[lang]))
-            self.letter[i, self.classes[[ord(c) for c in own]]] = np.arange(1, len(own) + 1)
+            letter[i, self.classes[[ord(c) for c in own]]] = np.arange(1, len(own) + 1)
             width = len(own) + 1
-            edges = self._build([int(self.letter[i, self.classes[ord(c)]]) for c in texts[lang]])
+            edges = self._build([int(letter[i, self.classes[ord(c)]]) for c in texts[lang]])
             at = [(s * width, c, t * width) for s, e in enumerate(edges) for c, t in e.items()]
             s, c, t = np.array(at, dtype=np.int64).reshape(-1, 3).T
             root = np.full(width, len(edges) * width, dtype=np.int64)
@@ -69,18 +73,19 @@ class Automata:
                 order = np.argsort(s + c)
                 self.sparse[i] = (s + c)[order], t[order], root
                 continue
-            table = np.tile(root + (base + _TURN), len(edges) + 1)
+            table = np.tile((root + base + int(self.turn)).astype(self.kind), len(edges) + 1)
             table[:width] = root + base
             table[s + c] = t + base
             tables.append(table)
-            self.roots[i] = base
+            roots[i] = base
             base += len(table)
-        self.next = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int64)
+        self.letter, self.roots = letter.astype(self.kind), roots.astype(self.kind)
+        self.next = np.concatenate(tables) if tables else np.zeros(0, dtype=self.kind)
         self.dense = np.array([i for i in range(len(self.langs)) if i not in self.sparse], dtype=np.int64)
         self.bits = np.array([np.log2(max(2, len(texts[x]))) for x in self.langs])
 
     def step(self, state: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """The state of each language (row) and block (column) after a letter, plus _TURN where it begins a phrase."""
+        """The state of each language (row) and block (column) after a letter, plus turn where it begins a phrase."""
         if not self.sparse:
             return self.next.take(state + self.letter[:, classes])
         out = np.empty_like(state)
@@ -89,7 +94,7 @@ class Automata:
             own = self.letter[i, classes]
             want = state[i] + own
             at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            new = root[own] + np.where(state[i] == 0, 0, _TURN)
+            new = root[own] + np.where(state[i] == 0, 0, self.turn)
             out[i] = np.where((keys[at] == want) & (own > 0), to[at], new)
         return out
 
@@ -158,8 +163,8 @@ class Automata:
         for i in range(int(length[order[0]]) if len(order) else 0):
             k = active[i]
             moved = self.step(state[:, :k], codes[at[order[:k]] + i])
-            count[:, :k] += moved >> _BIT
-            state[:, :k] = moved & (_TURN - 1)
+            count[:, :k] += moved >> self.bit
+            state[:, :k] = moved & (self.turn - 1)
         own_end, own_count = np.empty_like(state), np.empty_like(count)
         own_end[:, order], own_count[:, order] = state, count
         end, count = own_end.copy(), own_count + head  # the phrase that a text begins with
@@ -179,8 +184,8 @@ class Automata:
                         break
                 letter = codes[at[cols] + i]
                 a, b = self.step(true, letter), self.step(alone, letter)
-                more[:, live] += (a >> _BIT) - (b >> _BIT)
-                true, alone = a & (_TURN - 1), b & (_TURN - 1)
+                more[:, live] += (a >> self.bit) - (b >> self.bit)
+                true, alone = a & (self.turn - 1), b & (self.turn - 1)
             else:
                 last[:, live] = np.where(true != alone, true, last[:, live])
             count[:, todo] = own_count[:, todo] + more
@@ -213,7 +218,7 @@ def _letters() -> np.ndarray:
     return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def automata(texts: tuple[tuple[str, str], ...]) -> Automata:
     """Built once in each Python process."""
     return Automata(dict(texts))
@@ -247,13 +252,15 @@ def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc
     """
     texts = training_texts(docs if train is None else train, rows, chars, lang_col, id_col, text_col)
 
-    def run(batches):
+    def judge():
         model = automata(texts)
-        for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
-                langs, scores = model.classify(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *map(b.column, kept)], names=["doc_id", "held_out", "lang_pred", "score", *kept])
 
-    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), *along(docs, carry, text_col))
-    kept, schema = travelling(carry, text_col), "doc_id long, held_out boolean, lang_pred string, score double"
-    return arrived(rows_.mapInArrow(run, with_types(schema, rows_, *kept)), schema, carry, text_col)
+        def run(own: pa.Array) -> pa.Array:
+            langs, scores = model.classify(own.to_pylist())
+            return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+        return run
+
+    found = judged(F.col(text_col), judge, "lang_pred string, score double")
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), found.alias("_found"), *[F.col(c).alias(f"_{c}") for c in carry])
+    return out.select("doc_id", "held_out", "_found.lang_pred", "_found.score", *[F.col(f"_{c}").alias(c) for c in carry])

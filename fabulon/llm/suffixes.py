@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fabulon.llm.common import Rolling, groups_of, joined_bytes, mixed, partitions, slices
+from fabulon.llm.common import Rolling, groups_of, joined_bytes, mapped, mixed, partitions, slices
 
 NULL_ID = -(1 << 63)
 #: Mask of an occurrence all of whose strings are repeats.
@@ -217,8 +217,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
         if held is not None and before is not None and before == held.column("key")[0].as_py():
             yield held
 
-    found = source.sortWithinPartitions("doc", "mark").mapInArrow(first, "key long, doc long, place long")
-    found = found.repartition(width, "key").sortWithinPartitions("key").mapInArrow(several, "key long, doc long, place long")
+    found = source.sortWithinPartitions("doc", "mark").transform(mapped, first, "key long, doc long, place long")
+    found = found.repartition(width, "key").sortWithinPartitions("key").transform(mapped, several, "key long, doc long, place long")
     # As many places as a document's length allows. Left joins, so that all passes read one exchange of the texts.
     by_doc = found.groupBy("doc").agg(F.collect_list("place").alias("found"))
 
@@ -265,12 +265,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
 
     kept = ("doc", "mark", "text", *["carried"] * bool(carry), "found")
     read = source.join(by_doc, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark")
-    done = read.mapInArrow(lambda b: surround(b, True), "doc long, place long")
-    placed = read.mapInArrow(lambda b: surround(b, False), "key long, around long, also long, doc long, place long")
-    decided = placed.repartition(width, "around").sortWithinPartitions("around", "also", "key", "doc", "place").mapInArrow(earliest, "key long, doc long, place long")
+    done = read.transform(mapped, lambda b: surround(b, True), "doc long, place long")
+    placed = read.transform(mapped, lambda b: surround(b, False), "key long, around long, also long, doc long, place long")
+    decided = placed.repartition(width, "around").sortWithinPartitions("around", "also", "key", "doc", "place").transform(mapped, earliest, "key long, doc long, place long")
     # Sent are the first ones of anchors that have several surroundings.
     heads = decided.filter("key is not null").repartition(width, "key").sortWithinPartitions("key")
-    to_send = heads.mapInArrow(several, "key long, doc long, place long").groupBy("doc").agg(F.collect_list("place").alias("found"))
+    to_send = heads.transform(mapped, several, "key long, doc long, place long").groupBy("doc").agg(F.collect_list("place").alias("found"))
 
     def runs(batches):
         for data, ids, place, pos, rights, lefts in located(batches):
@@ -305,9 +305,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
         if held:
             yield from _settled(held, length, k)
 
-    blobs = source.join(to_send, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").mapInArrow(runs, "part int, " + ", ".join(f"{c} binary" for c in _BLOB))
+    blobs = source.join(to_send, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").transform(mapped, runs, "part int, " + ", ".join(f"{c} binary" for c in _BLOB))
     # Runs of a part come in no fixed order; ranks settle which occurrence is first, not run order.
-    marks = blobs.repartition(width, "part").sortWithinPartitions("part").mapInArrow(combine, "doc long, place long, mask long")
+    marks = blobs.repartition(width, "part").sortWithinPartitions("part").transform(mapped, combine, "doc long, place long, mask long")
     whole = decided.filter("key is null").select("doc", "place").unionByName(done)
     marks = marks.unionByName(whole.select("doc", "place", F.lit(_ALL).cast("long").alias("mask")))
     marked = marks.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("found"))
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
     schema = StructType([*StructType.fromDDL(schema).fields, *[f for f in source.schema if f.name == "carried"]])
-    out = source.join(marked, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").mapInArrow(cut, schema)
+    out = source.join(marked, "doc", "left").select(*kept).sortWithinPartitions("doc", "mark").transform(mapped, cut, schema)
     return out.select(*[c for c in out.columns if c != "carried"], *[F.col("carried")[c].alias(c) for c in carry])
 
 

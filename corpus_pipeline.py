@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabulon.llm import jaccard, language, packing, suffixes, toxicity
-from fabulon.llm.common import checkpointed, once
+from fabulon.llm.common import checkpointed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL can express neither the trained models nor the joins; the stages are tested against brute-force versions.
@@ -39,9 +39,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     marked = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("mark"))  # tells rows apart, whatever their ids
     best = jaccard.one_of_each(marked, "mark").select("mark").distinct()
-    # Each task sends rows that are equal in all columns once, so that many of them do not meet.
-    kept = marked.mapInArrow(once, marked.schema).join(best, "mark", "left_semi")
-    return kept.dropDuplicates(["mark"]).select(*COLUMNS)
+    # Of rows that are equal in all columns each task sends one; then texts and chosen rows meet by mark, in one exchange.
+    return marked.dropDuplicates(["mark"]).join(best, "mark", "left_semi").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -567,6 +567,44 @@ def test_pipeline(spark, sf_dir):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """Every stage on all that the one before it kept, against plain Python."""
+    import corpus_pipeline as cp
+
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    given = rows(d.select(*cp.COLUMNS))
+    one = cp.keep_identified(spark, d, sf_dir)
+    assert sorted(rows(one), key=str) == sorted([r for r in given if any(c.isalpha() for c in r[1] or "")], key=str)
+    two = cp.drop_toxic(spark, one, sf_dir)
+    flagged = {r.doc_id for r in toxicity.classify(one, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect() if r.flagged}
+    assert sorted(rows(two), key=str) == sorted([r for r in rows(one) if r[0] not in flagged], key=str)
+    left = rows(two)
+    groups = brute_jaccard([(r[0], r[1]) for r in left])
+    three = cp.one_of_each_group(spark, two, sf_dir)
+    assert sorted(rows(three), key=str) == sorted([r for r in left if groups[r[0]][1] == r[0]], key=str)
+    four = cp.without_repeats(spark, three, sf_dir)
+    seen, want = set(), {}
+    for i, t, lang, source, _ in sorted(rows(three)):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for q in range(len(b) - 99):
+            if b[q : q + 100] in seen:
+                gone[q : q + 100] = b"\1" * 100
+            else:
+                seen.add(b[q : q + 100])
+        kept, at = "", 0
+        for c in t:
+            n = len(c.encode())
+            kept, at = kept + (c if not any(gone[at : at + n]) else ""), at + n
+        want[i] = (i, kept, lang, source, len(kept))
+    assert sorted(rows(four)) == sorted(want.values())
+    five = cp.packed(spark, four, sf_dir).collect()
+    counts = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) for r in rows(four)}
+    assert {r.doc_id: r.n_tokens for r in five} == counts and all(r.boundary >= r.n_tokens for r in five)
+    assert sorted(r.doc_id for r in cp.run(spark, sf_dir).collect()) == sorted(counts)
+
+
 def test_pipeline_judges_rows_not_ids(spark, monkeypatch):
     import corpus_pipeline
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabulon.functions import names, rules, text
 from fabulon.operators import anaphora, dialogue, gazetteer, lookups, production, retrieval, state
 from fabulon.plans.facts import WITH_FACTS
-from fabulon.plans.texts import WITH_BLOCKS, _re
+from fabulon.plans.texts import _PLAIN, _re
 from fabulon.sources.adapters import blocks, event_facts, table
 
 
@@ -163,8 +163,8 @@ _DETECT = " UNION ALL ".join(
     for k, p, f in ((k, p, "" if k == "DEATH" else "(?i)") for k, p, _, _ in rules.DETECTORS)
 )
 SQL = {
-    "pronoun_counts": f"WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, {_re('(?i)' + chr(92) + 'b(?:' + _WORDS + ')' + chr(92) + 'b')}))) AS p FROM documents) SELECT doc_id, gender, \"number\", count(*) AS n FROM w JOIN (VALUES {_PRONOUNS}) v(p, gender, \"number\") USING (p) GROUP BY ALL",
-    "gender_cues": f"WITH c AS (SELECT doc_id, coalesce(sum(len(regexp_extract_all(text, {_re('(?i)' + rules.MALE_CUES)}))), 0) AS m, coalesce(sum(len(regexp_extract_all(text, {_re('(?i)' + rules.FEMALE_CUES)}))), 0) AS f FROM documents GROUP BY 1) SELECT doc_id, CASE WHEN m > 2 * f AND m >= 2 THEN 'm' WHEN f > 2 * m AND f >= 2 THEN 'f' ELSE 'n' END AS gender FROM c",
+    "pronoun_counts": f"WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all({_PLAIN.format(t='text')}, {_re('(?i)' + chr(92) + 'b(?:' + _WORDS + ')' + chr(92) + 'b')}))) AS p FROM documents) SELECT doc_id, gender, \"number\", count(*) AS n FROM w JOIN (VALUES {_PRONOUNS}) v(p, gender, \"number\") USING (p) GROUP BY ALL",
+    "gender_cues": f"WITH c AS (SELECT doc_id, coalesce(sum(len(regexp_extract_all({_PLAIN.format(t='text')}, {_re('(?i)' + rules.MALE_CUES)}))), 0) AS m, coalesce(sum(len(regexp_extract_all({_PLAIN.format(t='text')}, {_re('(?i)' + rules.FEMALE_CUES)}))), 0) AS f FROM documents GROUP BY 1) SELECT doc_id, CASE WHEN m > 2 * f AND m >= 2 THEN 'm' WHEN f > 2 * m AND f >= 2 THEN 'f' ELSE 'n' END AS gender FROM c",
     "antecedents": """WITH e AS (SELECT user_id, event_id, event_type, event_id * 7 % 100000 AS at_, ['m', 'f', 'n'][event_id % 3 + 1] AS g FROM events),
         j AS (SELECT s.user_id, s.event_id AS sid, s.at_ AS start, s.g AS sg, m.event_id AS mention_id, m.at_ AS off, m.g AS mg FROM e s JOIN e m ON s.user_id = m.user_id AND m.event_type IN ('click', 'view') AND m.at_ < s.at_ AND s.at_ - m.at_ <= 6000 WHERE s.event_type = 'error' AND (s.g = 'n' OR m.g = 'n' OR s.g = m.g)),
         r AS (SELECT *, count(*) OVER (PARTITION BY sid) AS n, row_number() OVER (PARTITION BY sid ORDER BY off DESC) AS k FROM j)

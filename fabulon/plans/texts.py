@@ -10,6 +10,10 @@ from fabulon.operators import evaluate, mentions, resolve, sequence
 from fabulon.sources.adapters import BLOCKS_SQL, blocks, table
 
 WITH_BLOCKS = f"WITH {BLOCKS_SQL}"
+#: Blocks with something in most of them for the text rules to find.
+_TELL = """CASE (chapter + block_index) % 9 WHEN 0 THEN 'Two years later he awoke. ' || text WHEN 1 THEN 'Back then, many years ago, a vision appeared. ' || text WHEN 2 THEN 'She said coldly and in a low voice: ' || text
+  WHEN 3 THEN '* * *' WHEN 4 THEN '[Level: ' || chapter || ']' WHEN 5 THEN 'Translator note: ' || text WHEN 6 THEN 'Next chapter' WHEN 7 THEN 'A group of disciples and the clan elders. Enemies surrounded him, he shouted. ' || text ELSE text END"""
+WITH_TOLD = f"{WITH_BLOCKS}, told AS (SELECT chapter, lang, source, block_index, {_TELL} AS text FROM blocks)"
 _STRIP = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 _BRACKETED = "(" + " OR ".join(f"(starts_with(t, '{a}') AND ends_with(t, '{b}'))" for a, b in rules.SYSTEM_DELIMITERS) + ")"
 _BODY = f"CASE WHEN {_BRACKETED} THEN t[2:-2] ELSE t END"
@@ -21,6 +25,8 @@ def _re(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
+#: A text as RE2's ASCII word boundaries need it: Java's count accented letters as letters.
+_PLAIN = "regexp_replace({t}, '[À-ɏ]', 'z', 'g')"
 #: Fields of a block of one line: 1 if it has a key and a value, else 0.
 _FIELD = f"(CASE WHEN trim(regexp_extract({_BODY}, {_re(rules.KEY_VALUE)}, 1)) <> '' AND trim(regexp_extract({_BODY}, {_re(rules.KEY_VALUE)}, 2)) <> '' THEN 1 ELSE 0 END)"
 
@@ -28,24 +34,28 @@ _FIELD = f"(CASE WHEN trim(regexp_extract({_BODY}, {_re(rules.KEY_VALUE)}, 1)) <
 # -- text ---------------------------------------------------------------------------------------
 
 
+def _told(s: SparkSession, d: str) -> DataFrame:
+    return blocks(s, d).withColumn("text", F.expr(_TELL))
+
+
 def block_classify(s: SparkSession, d: str) -> DataFrame:
-    return blocks(s, d).groupBy("lang", text.block_type(F.col("text")).alias("block_type")).agg(F.count("*").alias("n_blocks"))
+    return _told(s, d).groupBy("lang", text.block_type(F.col("text")).alias("block_type")).agg(F.count("*").alias("n_blocks"))
 
 
 def system_window(s: SparkSession, d: str) -> DataFrame:
-    return blocks(s, d).withColumn("n_fields", F.size(text.fields(F.col("text")))).filter("n_fields > 0").groupBy("chapter").agg(F.sum("n_fields").cast("long").alias("n_fields"), F.count("*").alias("n_blocks"))
+    return _told(s, d).withColumn("n_fields", F.size(text.fields(F.col("text")))).filter("n_fields > 0").groupBy("chapter").agg(F.sum("n_fields").cast("long").alias("n_fields"), F.count("*").alias("n_blocks"))
 
 
 def narrative_markers(s: SparkSession, d: str) -> DataFrame:
-    return blocks(s, d).select("lang", F.explode(text.narrative_markers(F.col("text"))).alias("m")).groupBy("lang", "m.kind", "m.confidence").agg(F.count("*").alias("n_markers"))
+    return _told(s, d).select("lang", F.explode(text.narrative_markers(F.col("text"))).alias("m")).groupBy("lang", "m.kind", "m.confidence").agg(F.count("*").alias("n_markers"))
 
 
 def delivery_markers(s: SparkSession, d: str) -> DataFrame:
-    return blocks(s, d).select("chapter", F.explode(text.delivery_markers(F.col("text"))).alias("m")).groupBy(F.col("chapter").alias("doc_id"), "m.polarity").agg(F.count("*").alias("n"))
+    return _told(s, d).select("chapter", F.explode(text.delivery_markers(F.col("text"))).alias("m")).groupBy(F.col("chapter").alias("doc_id"), "m.polarity").agg(F.count("*").alias("n"))
 
 
 def mob_phrases(s: SparkSession, d: str) -> DataFrame:
-    return blocks(s, d).groupBy("source").agg(F.sum(F.size(text.mobs(F.col("text")))).cast("long").alias("n_mobs"), F.count("*").alias("n_blocks"))
+    return _told(s, d).groupBy("source").agg(F.sum(F.size(text.mobs(F.col("text")))).cast("long").alias("n_mobs"), F.count("*").alias("n_blocks"))
 
 
 def content_words(s: SparkSession, d: str) -> DataFrame:
@@ -342,17 +352,17 @@ _NAME = "(CASE c_custkey % 3 WHEN 0 THEN 'the lord ' WHEN 1 THEN 'élder ' ELSE
 _JW = """WITH x AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part), y AS (SELECT *, jaro_similarity(a, b) AS j, CASE WHEN a[1:4] = b[1:4] THEN 4 WHEN a[1:3] = b[1:3] THEN 3 WHEN a[1:2] = b[1:2] THEN 2 WHEN a[1] = b[1] THEN 1 ELSE 0 END AS p FROM x) SELECT p_partkey, round(j + least(p, length(a), length(b)) * 0.1 * (1 - j), 6) AS similarity FROM y"""
 
 SQL = {
-    "block_classify": f"""{WITH_BLOCKS}, t AS (SELECT lang, {_STRIP} AS t FROM blocks), f AS (SELECT *, {_BRACKETED} AS br, {_FIELD} AS n FROM t)
-        SELECT lang, CASE WHEN t = '' THEN 'NON_DIEGETIC' WHEN {' OR '.join(f"regexp_matches(t, {_re('(?i)' + p)})" for p in rules.NON_DIEGETIC)} THEN 'NON_DIEGETIC'
-        WHEN regexp_matches(t, {_re('(?i)' + rules.TRANSLATOR_NOTE.replace('(?=', '(?:'))}) THEN 'TRANSLATOR_NOTE' WHEN regexp_matches(t, {_re('(?i)' + rules.AUTHOR_NOTE)}) THEN 'AUTHOR_NOTE'
-        WHEN (br OR regexp_matches(t, {_re('(?i)' + rules.SYSTEM_WORDS)})) AND n > 0 AND br AND length(t) < 200 THEN 'SYSTEM_WINDOW' ELSE 'PROSE' END AS block_type, count(*) AS n_blocks FROM f GROUP BY ALL""",
-    "system_window": f"{WITH_BLOCKS}, t AS (SELECT chapter, {_STRIP} AS t FROM blocks), f AS (SELECT chapter, {_FIELD} AS n FROM t) SELECT chapter, CAST(sum(n) AS BIGINT) AS n_fields, count(*) AS n_blocks FROM f WHERE n > 0 GROUP BY 1",
-    "narrative_markers": f"{WITH_BLOCKS}, b AS (SELECT lang, text, regexp_matches({_STRIP}, {_re(rules.SCENE_BREAK)}) AS br FROM blocks), m AS (SELECT lang, 'SCENE_BREAK' AS kind, 1.0::DOUBLE AS confidence, 1 AS n FROM b WHERE br UNION ALL "
+    "block_classify": f"""{WITH_TOLD}, t AS (SELECT lang, {_STRIP} AS t FROM told), f AS (SELECT *, {_PLAIN.format(t='t')} AS a, {_BRACKETED} AS br, {_FIELD} AS n FROM t)
+        SELECT lang, CASE WHEN t = '' THEN 'NON_DIEGETIC' WHEN {' OR '.join(f"regexp_matches(a, {_re('(?i)' + p)})" for p in rules.NON_DIEGETIC)} THEN 'NON_DIEGETIC'
+        WHEN regexp_matches(a, {_re('(?i)' + rules.TRANSLATOR_NOTE.replace('(?=', '(?:'))}) THEN 'TRANSLATOR_NOTE' WHEN regexp_matches(a, {_re('(?i)' + rules.AUTHOR_NOTE)}) THEN 'AUTHOR_NOTE'
+        WHEN (br OR regexp_matches(a, {_re('(?i)' + rules.SYSTEM_WORDS)})) AND n > 0 AND br AND length(t) < 200 THEN 'SYSTEM_WINDOW' ELSE 'PROSE' END AS block_type, count(*) AS n_blocks FROM f GROUP BY ALL""",
+    "system_window": f"{WITH_TOLD}, t AS (SELECT chapter, {_STRIP} AS t FROM told), f AS (SELECT chapter, {_FIELD} AS n FROM t) SELECT chapter, CAST(sum(n) AS BIGINT) AS n_fields, count(*) AS n_blocks FROM f WHERE n > 0 GROUP BY 1",
+    "narrative_markers": f"{WITH_TOLD}, b AS (SELECT lang, {_PLAIN.format(t='text')} AS text, regexp_matches({_STRIP}, {_re(rules.SCENE_BREAK)}) AS br FROM told), m AS (SELECT lang, 'SCENE_BREAK' AS kind, 1.0::DOUBLE AS confidence, 1 AS n FROM b WHERE br UNION ALL "
     + " UNION ALL ".join(f"SELECT lang, '{k}' AS kind, {c}::DOUBLE AS confidence, len(regexp_extract_all(text, {_re('(?i)(?:' + '|'.join(f'(?:{p})' for p in ps) + ')')})) AS n FROM b WHERE NOT br" for k, ps, c in rules.MARKERS)
     + ") SELECT lang, kind, confidence, CAST(sum(n) AS BIGINT) AS n_markers FROM m GROUP BY ALL HAVING sum(n) > 0",
-    "delivery_markers": f"{WITH_BLOCKS}, w AS (SELECT chapter AS doc_id, unnest(regexp_extract_all(regexp_replace(text, {_re(rules.QUOTED)}, ' ', 'g'), {_re('(?i)' + chr(92) + 'b(?:' + '|'.join(sorted((w for ws in rules.DELIVERY.values() for w in ws), key=len, reverse=True)) + ')' + chr(92) + 'b')})) AS word FROM blocks)"
+    "delivery_markers": f"{WITH_TOLD}, w AS (SELECT chapter AS doc_id, unnest(regexp_extract_all(regexp_replace({_PLAIN.format(t='text')}, {_re(rules.QUOTED)}, ' ', 'g'), {_re('(?i)' + chr(92) + 'b(?:' + '|'.join(sorted((w for ws in rules.DELIVERY.values() for w in ws), key=len, reverse=True)) + ')' + chr(92) + 'b')})) AS word FROM told)"
     f" SELECT doc_id, polarity, count(*) AS n FROM w JOIN (VALUES {', '.join(str((w, k)) for k, ws in rules.DELIVERY.items() for w in ws)}) v(v, polarity) ON lower(word) = v GROUP BY ALL",
-    "mob_phrases": f"{WITH_BLOCKS} SELECT source, CAST(sum(len(regexp_extract_all(text, {_re('(?i)' + rules.MOB)})) + len(regexp_extract_all(text, {_re('(?i)' + rules.MOB_SUBJECT)}))) AS BIGINT) AS n_mobs, count(*) AS n_blocks FROM blocks GROUP BY 1",
+    "mob_phrases": f"{WITH_TOLD} SELECT source, CAST(sum(len(regexp_extract_all({_PLAIN.format(t='text')}, {_re('(?i)' + rules.MOB)})) + len(regexp_extract_all({_PLAIN.format(t='text')}, {_re('(?i)' + rules.MOB_SUBJECT)}))) AS BIGINT) AS n_mobs, count(*) AS n_blocks FROM told GROUP BY 1",
     "name_containment": "SELECT p_partkey, round(CASE WHEN len(string_split(p_name, ' ')) >= 2 THEN 0.8::DOUBLE + 0.15::DOUBLE * len(string_split(p_name, ' ')) / (len(string_split(p_name, ' ')) + len(string_split(p_type, ' '))) ELSE 0.0 END, 9) AS containment FROM part",
     "content_words": f"SELECT item_id, len(list_distinct(list_transform({_TERMS.format(t='text')}, lambda w: CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN w[:-4] || 'y' WHEN w LIKE '%es' AND length(w) > 4 THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN w[:-2] ELSE w END))) AS n_words FROM benchmark",
     "snippet": """WITH p AS (SELECT doc_id, text, instr(text, 'and the') AS pos FROM documents WHERE lang = 'en'), q AS (SELECT *, greatest(pos - 55, 1) AS st FROM p)

@@ -27,8 +27,11 @@ def recall_at(cases: DataFrame, kind: str, rank: str, ks: tuple[int, ...] = (1,
     return cases.groupingSets([[], [F.col(kind)]], F.col(kind)).agg(F.count("*").alias("n_cases"), *[F.sum(F.when(F.col(rank) <= k, 1).otherwise(0)).cast("long").alias(f"hits_{k}") for k in ks])
 
 
-def conformal(examples: DataFrame, score: str, correct: str, alpha: float = 0.05, margin: float = 0.05, fallback: tuple[float, float] = (0.80, 0.35)) -> DataFrame:
-    """link_threshold and new_threshold: order statistics at int(alpha * n) of wrong scores descending and right ones ascending."""
+def conformal(examples: DataFrame, score: str, correct: str, alpha: float = 0.05, margin: float = 0.05, fallback: tuple[float, float] = (0.80, 0.35), digits: int | None = 6) -> DataFrame:
+    """link_threshold and new_threshold: order statistics at int(alpha * n) of wrong scores descending and right ones ascending.
+
+    Scores are rounded to `digits`, which bounds how many different ones are ordered in one task; None takes them as they are.
+    """
 
     def at(rows: DataFrame, order, name: str) -> DataFrame:
         n = rows.agg(F.count("*").alias("n"))
@@ -37,17 +40,18 @@ def conformal(examples: DataFrame, score: str, correct: str, alpha: float = 0.05
         counts = rows.groupBy("score").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w))
         return counts.crossJoin(n).filter(F.col("upto") > F.floor(F.col("n") * alpha)).agg(F.min_by("score", "upto").alias(name))
 
-    rows = examples.select(F.round(score, 6).alias("score"), F.col(correct).alias("ok"))
+    rounded = lambda c: c if digits is None else F.round(c, digits)
+    rows = examples.select(rounded(F.col(score)).alias("score"), F.col(correct).alias("ok"))
     link = at(rows.filter("not ok"), F.col("score").desc(), "l")
     new = at(rows.filter("ok"), F.col("score").asc(), "r")
     t = link.crossJoin(new).select("l", F.least("r", F.col("l") - margin).alias("m"))
     good = F.col("l").isNotNull() & F.col("m").isNotNull() & (F.col("m") < F.col("l"))
-    return t.select(F.round(F.when(good, F.col("l")).otherwise(fallback[0]), 6).alias("link_threshold"), F.round(F.when(good, F.col("m")).otherwise(fallback[1]), 6).alias("new_threshold"))
+    return t.select(rounded(F.when(good, F.col("l")).otherwise(fallback[0])).alias("link_threshold"), rounded(F.when(good, F.col("m")).otherwise(fallback[1])).alias("new_threshold"))
 
 
-def platt(examples: DataFrame, score: str, correct: str, steps: int = 200, rate: float = 0.05) -> DataFrame:
-    """a, b of sigmoid(a * score + b) by gradient descent on counts of scores rounded to three digits (a bounded histogram)."""
-    hist = examples.groupBy(F.round(score, 3).alias("s")).agg(F.sum(F.col(correct).cast("double")).alias("y"), F.count("*").alias("n")).orderBy("s").collect()
+def platt(examples: DataFrame, score: str, correct: str, steps: int = 200, rate: float = 0.05, digits: int | None = 3) -> DataFrame:
+    """a, b of sigmoid(a * score + b) by gradient descent on counts of scores rounded to `digits` (a bounded histogram on the driver); None takes them as they are, a row for each different score."""
+    hist = examples.groupBy((F.col(score) if digits is None else F.round(score, digits)).alias("s")).agg(F.sum(F.col(correct).cast("double")).alias("y"), F.count("*").alias("n")).orderBy("s").collect()
     s, y, n = (np.array([r[i] for r in hist], dtype=np.float64) for i in range(3))
     a, b = 1.0, 0.0
     for _ in range(steps if len(s) else 0):

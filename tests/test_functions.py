@@ -106,3 +106,23 @@ def test_incremental_resolver(spark):
     got = {r.group_id: (r.entity, r.decision) for r in resolve_windows(groups, 1.5, 0.1).collect()}
     assert got == {1: (1, "NEW"), 2: (2, "NEW"), 3: (1, "LINK"), 4: (1, "LINK"), 5: (5, "NEW"), 6: (5, "NEW")}
     assert resolve_windows(groups.limit(0), 1.0, 0.5).count() == 0
+
+
+def test_exact_calibration(spark):
+    import math
+
+    from fabulon.operators import evaluate
+
+    rows = [(0.1234567 + i / 1000.0003, i % 3 == 0) for i in range(90)]
+    e = spark.createDataFrame(rows, "score double, ok boolean")
+    wrong, right = sorted((s for s, ok in rows if not ok), reverse=True), sorted(s for s, ok in rows if ok)
+    r = evaluate.conformal(e, "score", "ok", digits=None).first()
+    link = wrong[int(0.05 * len(wrong))]
+    new = min(right[int(0.05 * len(right))], link - 0.05)
+    assert r.link_threshold == link and r.new_threshold == new
+    a, b = 1.0, 0.0
+    for _ in range(200):
+        err = [1 / (1 + math.exp(-(a * s + b))) - ok for s, ok in rows]
+        a, b = a - 0.05 * sum(x * s for x, (s, _) in zip(err, rows, strict=True)) / 90, b - 0.05 * sum(err) / 90
+    p = evaluate.platt(e, "score", "ok", digits=None).first()
+    assert abs(p.a - a) < 1e-5 and abs(p.b - b) < 1e-5

@@ -46,7 +46,7 @@ def antecedents(s: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", "start", "mention_id", F.round("confidence", 6).alias("confidence"), "rule")
 
 
-def event_detectors(s: SparkSession, d: str) -> DataFrame:
+def detectors(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_HAPPENS).alias("text"))
     return retrieval.event_detectors(p, ["doc_id"]).select("doc_id", "kind", "subject", "object")
 
@@ -170,7 +170,7 @@ SQL = {
         r AS (SELECT *, count(*) OVER (PARTITION BY sid) AS n, row_number() OVER (PARTITION BY sid ORDER BY off DESC) AS k FROM j)
         SELECT user_id, start, mention_id, round(CASE WHEN n = 1 THEN least(1.0, b + 0.1) ELSE b END, 6)::DOUBLE AS confidence, CASE WHEN n = 1 THEN 'unique_agreeing_antecedent' ELSE 'nearest_agreeing_antecedent' END AS rule
         FROM (SELECT *, (CASE WHEN mg <> 'n' AND sg <> 'n' THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END) * (CASE WHEN start - off > 3000 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END) AS b FROM r WHERE k = 1)""",
-    "event_detectors": f"WITH h AS ({_DETECT}) SELECT doc_id, kind, CASE WHEN subject <> '' THEN subject ELSE object END AS subject, CASE WHEN subject <> '' AND object <> '' THEN object END AS object FROM h WHERE subject <> '' OR object <> ''",
+    "detectors": f"WITH h AS ({_DETECT}) SELECT doc_id, kind, CASE WHEN subject <> '' THEN subject ELSE object END AS subject, CASE WHEN subject <> '' AND object <> '' THEN object END AS object FROM h WHERE subject <> '' OR object <> ''",
     "entity_kinds": """SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'LOCATION' WHEN user_id % 5 = 1 THEN CASE WHEN bool_or(event_id % 50 = 0) THEN 'SELF' ELSE 'ORGANIZATION' END WHEN user_id % 5 = 2 THEN 'ITEM'
         WHEN count(DISTINCT event_id % 2) > 1 THEN 'SELF' WHEN min(event_id % 2) = 0 THEN 'LOCATION' ELSE 'ITEM' END AS kind FROM events GROUP BY user_id""",
     "pov_holder": """WITH e AS (SELECT event_id % 200 AS chapter, event_type, 'N' || (user_id % 20) AS t, event_id * 31 % 5000 AS p FROM events),

@@ -22,8 +22,9 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribute facts with three time axes: each event is a fact about its user, open until the user's next event of its type."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", _day(F.col("ts")).alias("learned_chapter"), _second(F.col("ts")).alias("learned_offset"))
     e = e.withColumn("learned", F.col("learned_chapter").cast("long") * 1_000_000 + F.col("learned_offset")).withColumn("start", F.col("learned_chapter") * 24 + F.col("learned_offset") / 3600)
-    same = Window.partitionBy("user_id", "event_type").orderBy("start", "event_id")
-    user = Window.partitionBy("user_id").orderBy("start", "event_id")
+    order = [F.col(c).asc_nulls_last() for c in ("start", "event_id")]  # as the SQL has them
+    same = Window.partitionBy("user_id", "event_type").orderBy(*order)
+    user = Window.partitionBy("user_id").orderBy(*order)
     nxt = F.lead("start").over(same)
     error_after = F.min(F.when(F.col("event_type") == "error", F.col("learned"))).over(user.rowsBetween(1, Window.unboundedFollowing))
     return e.select(

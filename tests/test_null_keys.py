@@ -27,6 +27,6 @@ def _events(shift=0, null_ts=0, null_id=0, null_user=0):
     return [(None if gone(null_id, i) else i * 100 + shift, None if gone(null_ts, i) else day + datetime.timedelta(minutes=i * 17), None if gone(null_user, i) else i % 3, kinds[(i + i // 7) % 5], float(i), "{}") for i in range(1, 60)]
 
 
-@pytest.mark.parametrize("query", ["evidence_extend"])
+@pytest.mark.parametrize("query", ["evidence_extend", "interval_constructors"])
 def test_facts_without_a_time_come_last(spark, tmp_path, query):
     _same(spark, tmp_path, "events", query, _events(null_ts=7), _EVENTS)

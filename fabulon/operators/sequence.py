@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
+def islands(df: DataFrame, keys: list[str], order: list[str | Column], starts: Column, name: str = "island") -> DataFrame:
     """Numbers runs of rows: a new one begins where `starts` holds (an expression that may use lag over the same order)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_s", F.coalesce(starts.cast("int"), F.lit(1))).withColumn(name, F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_s")
@@ -33,8 +33,8 @@ def carried(df: DataFrame, key: str, order: str, value: Column, name: str) -> Da
 
 
 def epochs(changes: DataFrame, key: str, pos: str, value: str) -> DataFrame:
-    """Change points to half-open intervals, the last one open; repeats of the value in force are no change."""
-    w = Window.partitionBy(key).orderBy(pos)
+    """Change points to half-open intervals, the last one open; repeats of the value in force are no change. Points without a place come last."""
+    w = Window.partitionBy(key).orderBy(F.col(pos).asc_nulls_last())
     kept = changes.withColumn("_p", F.lag(value).over(w)).filter(F.col("_p").isNull() | (F.col("_p") != F.col(value))).drop("_p")
     return kept.select(key, value, F.col(pos).alias("from_pos"), F.coalesce(F.lead(pos).over(w).cast("double"), F.lit(float("inf"))).alias("to_pos"))
 

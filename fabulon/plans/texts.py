@@ -185,7 +185,7 @@ def crowd_runs(s: SparkSession, d: str) -> DataFrame:
 
 
 def epochs(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events").select("user_id", F.col("event_id").alias("pos"), F.concat(F.lit("body"), (F.floor(F.col("event_id") / 700) % 3).cast("string")).alias("body"))
+    e = table(s, d, "events").select("user_id", F.col("event_id").alias("pos"), F.concat(F.lit("body"), F.expr("event_id div 700 % 3").cast("string")).alias("body"))
     return sequence.epochs(e, "user_id", "pos", "body")
 
 

@@ -30,3 +30,8 @@ def _events(shift=0, null_ts=0, null_id=0, null_user=0):
 @pytest.mark.parametrize("query", ["evidence_extend", "interval_constructors"])
 def test_facts_without_a_time_come_last(spark, tmp_path, query):
     _same(spark, tmp_path, "events", query, _events(null_ts=7), _EVENTS)
+
+
+@pytest.mark.parametrize("given", [{"null_id": 7}, {"shift": -3_100}, {"shift": 1 << 62}])
+def test_epochs_of_any_number(spark, tmp_path, given):
+    _same(spark, tmp_path, "events", "epochs", _events(**given), _EVENTS)

@@ -40,8 +40,8 @@ def epochs(changes: DataFrame, key: str, pos: str, value: str) -> DataFrame:
 
 
 def merged_ranges(ranges: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Overlapping or touching ranges of a key as one."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    grouped = islands(ranges, [key], [start, end], F.col(start) > reach)
+    """Overlapping or touching ranges of a key as one. Ranges without a start come last and count with the last one."""
+    order = [F.col(c).asc_nulls_last() for c in (start, end)]
+    reach = F.max(end).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    grouped = islands(ranges, [key], order, F.coalesce(F.col(start) > reach, F.lit(False)))
     return grouped.groupBy(key, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n_ranges")).drop("island")

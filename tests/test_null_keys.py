@@ -8,6 +8,7 @@ import pytest
 from fabulon.plans.registry import QUERIES, SQL
 
 _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+_ORDERS = "o_orderkey long, o_custkey long, o_orderdate timestamp"
 
 
 def _same(spark, folder, name, query, rows, schema):
@@ -35,3 +36,9 @@ def test_facts_without_a_time_come_last(spark, tmp_path, query):
 @pytest.mark.parametrize("given", [{"null_id": 7}, {"shift": -3_100}, {"shift": 1 << 62}])
 def test_epochs_of_any_number(spark, tmp_path, given):
     _same(spark, tmp_path, "events", "epochs", _events(**given), _EVENTS)
+
+
+def test_ranges_without_a_start_count_with_the_last(spark, tmp_path):
+    day = datetime.datetime(1995, 1, 1)
+    rows = [(i, None if i % 5 == 4 else i % 4, None if i % 6 == 0 else day + datetime.timedelta(days=i * 23)) for i in range(60)]
+    _same(spark, tmp_path, "orders", "range_merge", rows, _ORDERS)

@@ -39,7 +39,8 @@ def gender_cues(s: SparkSession, d: str) -> DataFrame:
 
 def antecedents(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select("user_id", "event_id", "event_type", (F.col("event_id") * 7 % 100_000).alias("at"))
-    g = F.element_at(F.array(*map(F.lit, "mfn")), (F.col("event_id") % 3 + 1).cast("int"))
+    at = (F.col("event_id") % 3 + 1).cast("int")
+    g = F.when(at != 0, F.element_at(F.array(*map(F.lit, "mfn")), at))
     m = e.filter("event_type in ('click', 'view')").select("user_id", F.col("event_id").alias("id"), F.col("at").alias("offset"), F.col("event_type").alias("text"), F.lit("RIGID_NAME").alias("alias_type"), g.alias("gender"))
     said = e.filter("event_type = 'error'").select("user_id", F.col("at").alias("start"), g.alias("gender"))
     found = anaphora.antecedents(said, m, ["user_id"], reach=6000)

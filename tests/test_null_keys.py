@@ -5,6 +5,7 @@ import datetime
 import duckdb
 import pytest
 
+from fabulon.operators import anaphora
 from fabulon.plans.registry import QUERIES, SQL
 
 _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -42,3 +43,14 @@ def test_ranges_without_a_start_count_with_the_last(spark, tmp_path):
     day = datetime.datetime(1995, 1, 1)
     rows = [(i, None if i % 5 == 4 else i % 4, None if i % 6 == 0 else day + datetime.timedelta(days=i * 23)) for i in range(60)]
     _same(spark, tmp_path, "orders", "range_merge", rows, _ORDERS)
+
+
+def test_antecedents_need_a_scope(spark, tmp_path):
+    _same(spark, tmp_path, "events", "antecedents", _events(null_user=4), _EVENTS)
+
+
+def test_of_antecedents_at_one_place_the_greatest_id(spark):
+    said = spark.createDataFrame([(1, 50, "m"), (1, 60, "m")], "user_id long, start long, gender string")
+    for order in ((7, 3, 9), (9, 7, 3), (3, 9, 7)):
+        m = spark.createDataFrame([(1, i, 40, f"N{i}", "RIGID_NAME", "m") for i in order], "user_id long, id long, offset long, text string, alias_type string, gender string").coalesce(1)
+        assert sorted((r.start, r.mention_id, r.confidence) for r in anaphora.antecedents(said, m, ["user_id"]).collect()) == [(50, 9, 0.85), (60, 9, 0.85)]

@@ -36,7 +36,9 @@ NULL_ID = -(1 << 63)
 _ALL = -1
 #: Place of a suffix: document order number << 40 | byte position.
 _ORD = 40
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Bytes of text handled at once where nothing is compared within a slice: numbers for each byte take some hundred times as much.
+NARROW = 1 << 19
 #: Other numbers for the bytes, which make of one polynomial hash a second.
 _ANOTHER = np.random.default_rng(40).permutation(256).astype(np.uint8)
 
@@ -64,10 +66,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     return at, h[at]
 
 
-def _numbered(batches, state: list) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _numbered(batches, state: list, limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of batches sorted by (doc, mark), with the order number of each row's text under its id, and whether the row repeats the one before."""
     for batch in batches:
-        for b in slices(batch, "text", SLICE):
+        for b in slices(batch, "text", limit):
             order, again = np.zeros(b.num_rows, dtype=np.int64), np.zeros(b.num_rows, dtype=bool)
             for i, now in enumerate(zip(b.column("doc").to_pylist(), b.column("mark").to_pylist(), strict=True)):
                 if state and state[0][0] == now[0]:
@@ -190,7 +192,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"), *[F.struct(*carry).alias("carried")] * bool(carry)).repartition(width, "doc")
 
     def first(batches):
-        for b, order, again in _numbered(batches, []):
+        for b, order, again in _numbered(batches, [], NARROW):
             data, offsets = joined_bytes(b.column("text"))
             at, h = anchors(data, offsets, length, k)
             row = np.searchsorted(offsets, at, side="right") - 1
@@ -313,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 40, id_col: str
     marked = marks.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("found"))
 
     def cut(batches):
-        for b, order, _ in _numbered(batches, []):
+        for b, order, _ in _numbered(batches, [], NARROW):
             data, offsets = joined_bytes(b.column("text"))
             lists = b.column("found")
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)

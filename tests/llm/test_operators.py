@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fabulon.llm import chat, language, licenses, media, packing, pieces, queries, spherical, suffixes, toxicity
-from fabulon.llm.common import groups_of
+from fabulon.llm.common import groups_of, joined_bytes
 from fabulon.llm.graph import components
 from fabulon.llm.jaccard import join_similar
 
@@ -635,3 +636,15 @@ def test_license_sql(spark, sf_dir):
     want = sorted(c.execute(queries.SQL["op1_license_scan"]).fetchall())
     got = queries.op1_license_scan(spark, sf_dir).select("doc_id", "canonical_sha256", "canonical_chars", "license_id")
     assert sorted(map(tuple, got.collect())) == want and got.filter(F.col("canonical_chars") == 0).count() == 0
+
+
+def test_anchors_in_bounded_memory():
+    """The pass over all texts of a task holds numbers for the bytes of a small slice only."""
+    texts = [" ".join(f"w{i * j % 9973}" for j in range(3000)) for i in range(1, 500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["doc", "mark", "text"])
+    tracemalloc.start()
+    for b, _, _ in suffixes._numbered([batch], [], suffixes.NARROW):
+        suffixes.anchors(*joined_bytes(b.column("text")), 100, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 6 << 20 and peak < 100 << 20

@@ -101,8 +101,9 @@ def gold_coverage(s: SparkSession, d: str) -> DataFrame:
 def resolve_incremental(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").filter("text is not null")
     last = docs.agg(F.max("doc_id")).first()[0] or 0
-    w = docs.select(F.col("doc_id").alias("group_id"), F.floor(F.col("doc_id") * 4 / (last + 1)).cast("long").alias("window"), text.terms(F.col("text")).alias("t"))
-    return resolve_windows(w.filter("size(t) > 0").select("group_id", "window", F.col("t")[0].alias("key"), F.col("t").alias("terms")), 12.0, 4.0)
+    terms = text.terms(F.col("text"))
+    w = docs.select(F.col("doc_id").alias("group_id"), F.floor(F.col("doc_id") * 4 / (last + 1)).cast("long").alias("window"), F.get(terms, F.lit(0)).alias("key"), "text")
+    return resolve_windows(w, 12.0, 4.0, terms)
 
 
 def first_appearance(s: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out rows, edge cases included."""
 
 import hashlib
+import pickle
 import random
 import re
 import tracemalloc
@@ -510,6 +511,26 @@ def test_toxicity(spark, sf_dir):
     assert right >= 0.96 * len(got) and hits >= 0.8 * sum(y[r.doc_id] for r in got)
 
 
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """A word that only the last of many rows have counts as well, and thresholds are those of all rows put aside."""
+    r = random.Random(4)
+    monkeypatch.setattr(toxicity, "CHUNK_ROWS", 500)
+    n = 6000
+    rows = [(i, " ".join(r.choice("red green blue grey".split()) for _ in range(6)) + (f" vile{i % 3}" if i % 4 == 0 else ""), "en") for i in range(n)]
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(n)], "doc_id long, toxic int")
+    taught = []
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: taught.append(a))
+    whole = toxicity.labelled(d, labels)
+    assert whole.count() == sum(not h for (h,) in d.select(toxicity.held_out(F.col("doc_id"))).collect())
+    model = pickle.loads(toxicity.fitted_on_all(d, labels, "doc_id", "text", "lang"))
+    assert model.scores(pa.array(["red vile1 blue"]))[0] > 0.9 and model.scores(pa.array(["red green blue"]))[0] < 0.1 and not taught
+    scored = [(r.choice(["en", "de"]), round(r.random(), 2), r.randrange(2)) for _ in range(300)] + [("fr", 0.5, 1)]
+    got = toxicity.thresholds(spark.createDataFrame(scored, "lang string, score double, y int"))
+    for lang in ("en", "de", "fr"):
+        own = [x for x in scored if x[0] == lang]
+        assert abs(got[lang] - toxicity.calibrated(np.array([x[1] for x in own]), np.array([x[2] for x in own]))) < 1e-9
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
     assert toxicity.classify(docs(spark, EDGE), labels).count() == len(EDGE)

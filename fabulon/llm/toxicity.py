@@ -30,6 +30,8 @@ DIM = 6
 MIN_TEXTS = 3
 #: Texts and characters that are trained on together, and how often tables of one chunk are gone through.
 CHUNK_ROWS, CHUNK_CHARS, EPOCHS = 4000, 16 << 20, 24
+#: At most 2 ** BITMAP bits tell rows that may have a label from those that have none.
+BITMAP = 26
 
 
 _WORD = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
@@ -234,15 +236,46 @@ def fit(rows: list[tuple], seed: int = 7, most_bytes: int = 64 << 20) -> Model |
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", label_col: str = "toxic") -> DataFrame:
-    """id, text, lang, y, aside of every row of docs with a label, held-out rows never; aside: it serves the thresholds alone."""
-    y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    y = y.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+def open_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
+    """id, text, lang, aside of every row of docs that has an id and is not held out; aside, made of the text, is there before rows meet labels, so that no text need move for it."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.alias("lang")).join(y, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.alias("lang")).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
     return rows.withColumn("aside", F.crc32(F.concat(F.lit("aside"), F.col("text")).cast("binary")) % 5 == 0)
 
 
+def known_labels(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str = "toxic") -> DataFrame:
+    """id, in the type that docs has it in, and y of each id that has a label, held-out ones never."""
+    y = labels.select(F.col(id_col).try_cast(docs.select(id_col).schema[0].dataType).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull())
+    return y.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", label_col: str = "toxic") -> DataFrame:
+    """id, text, lang, aside, y of every row of docs with a label, held-out rows never; aside: it serves the thresholds alone."""
+    return open_rows(docs, id_col, text_col, lang_col).join(known_labels(docs, labels, id_col, label_col), "id")
+
+
+def likely(rows: DataFrame, y: DataFrame, total: int) -> DataFrame:
+    """The rows whose id is in y, and a few others: a bitmap of the ids' hashes, 8 MB at most, is sent to where the rows are.
+
+    What it lets through still has to meet y; it is there so that rows without a label need not move for that.
+    The more ids there are to its bits, the more others pass; never is a row of y lost.
+    """
+    bits = 1 << min(max((16 * total).bit_length(), 15), BITMAP)
+    at = spread_key("id").bitwiseAND(F.lit(bits - 1))
+    maps = y.select(at.alias("_v")).groupBy(F.shiftright("_v", 15).alias("_part")).agg(F.bitmap_construct_agg(F.col("_v") % (1 << 15)).alias("_map"))
+    place = F.col("_v") % (1 << 15)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_v", at).withColumn("_part", F.shiftright("_v", 15)).join(F.broadcast(maps), "_part")
+    return found.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def in_order(rows: DataFrame, y: DataFrame, total: int, parts: int) -> DataFrame:
+    """text, y of the rows whose id is in y, in `parts` parts, each in the order of a hash of the ids. Texts of these rows move, once, whatever the tables' sizes."""
+    rows = likely(rows, y, total).withColumn("_h", spread_key("id")).select("_h", "id", "text")
+    dealt = rows.repartition(parts, "_h", "id").sortWithinPartitions("_h", "id", "text")
+    return dealt.join(y.withColumn("_h", spread_key("id")).repartition(parts, "_h", "id").hint("merge"), ["_h", "id"]).select("text", "y")
+
+
 def thresholds(scored: DataFrame) -> dict[str, float]:
     """What `calibrated` gives for each lang of (lang, score, y), from all rows; of these a row for each language comes to the driver."""
     each = scored.groupBy("lang", "score").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
@@ -257,10 +290,10 @@ def fitted_on_all(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """The model of every labelled row, pickled; None in it where there are not both labels.
 
     One task takes the rows as they come, in the order of a hash of their ids, a chunk at a time; small tables are gone through up to
-    EPOCHS times. The thresholds come from scores of all rows that were put aside, made in many tasks.
+    EPOCHS times. The thresholds come from scores of all rows that were put aside, made in many tasks, where the texts are.
     """
-    rows = labelled(docs, labels, id_col, text_col, lang_col)
-    counts = {(r.aside, r.y): r["count"] for r in rows.groupBy("aside", "y").count().collect()}
+    rows, known = open_rows(docs, id_col, text_col, lang_col), known_labels(docs, labels, id_col)
+    counts = {(r.aside, r.y): r["count"] for r in labelled(docs, labels, id_col, text_col, lang_col).groupBy("aside", "y").count().collect()}
     own = [counts.get((False, y), 0) for y in (0, 1)]
     fitting = rows.filter("not aside")
     if not all(own):
@@ -291,15 +324,17 @@ def fitted_on_all(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         learn()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trainer.done())], pa.binary())], names=["model"])
 
-    dealt = fitting.select(spread_key("id").alias("_h"), "id", "text", "y").repartition(-(-total // CHUNK_ROWS), "_h").sortWithinPartitions("_h", "id", "text")
-    model = pickle.loads(dealt.select("text", "y").coalesce(1).mapInArrow(run, "model binary").collect()[0].model)
+    every = sum(counts.values())
+    dealt = in_order(fitting, known, every, -(-total // CHUNK_ROWS))
+    model = pickle.loads(dealt.coalesce(1).mapInArrow(run, "model binary").collect()[0].model)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # BUCKETS * DIM floats and a few filters
 
     def judge():
         model = pickle.loads(sent.value)
         return lambda own: pa.array(model.scores(own))
 
-    model.thresholds = thresholds(rows.filter("aside and lang is not null").select("lang", judged(F.col("text"), judge, "double").alias("score"), "y"))
+    scored = likely(rows.filter("aside and lang is not null"), known, every).select("id", "lang", judged(F.col("text"), judge, "double").alias("score"))
+    model.thresholds = thresholds(scored.join(known, "id"))
     return pickle.dumps(model)
 
 

@@ -531,6 +531,53 @@ def test_toxicity_learns_from_every_row(spark, monkeypatch):
         assert abs(got[lang] - toxicity.calibrated(np.array([x[1] for x in own]), np.array([x[2] for x in own]))) < 1e-9
 
 
+def test_toxicity_moves_each_text_that_teaches_once(spark):
+    """Where labels are too many to be broadcast, only texts to learn from are exchanged, once; the others stay where they are."""
+    r = random.Random(8)
+    n, size = 1500, 4000
+    rows = [(i, f"{'vile' if i % 20 == 0 else 'fine'} " + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=size)), "en") for i in range(n)]
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(0, n, 10)], "doc_id long, toxic int")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        toxicity.fitted_on_all(d, labels, "doc_id", "text", "lang")
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert n * size / 40 < moved < n * size / 5, moved  # some 6 in 100 teach
+
+
+def test_toxicity_learns_from_the_rows_of_the_labels_whatever_the_bitmap(spark, monkeypatch):
+    """Rows to learn from are those a plain join gives, each with its label, also where the bitmap is nearly full and ids are of other types, null, repeated or below zero."""
+    r = random.Random(9)
+    rows = [(r.choice([None, *range(-400, 400)]), r.choice([None, "", "a b", f"text {i}", f"text {i} again"]), "en") for i in range(3000)]
+    known = [(r.choice([None, *range(-600, 600)]), r.choice([0, 1, None, 7])) for _ in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    best = {}
+    for i, y in known:
+        if i is not None and y in (0, 1) and not held(i):
+            best[i] = max(y, best.get(i, 0))
+    want = sorted((t or "", best[i]) for i, t, _ in rows if i in best)
+    for kind in ("long", "int", "string"):
+        labels = spark.createDataFrame([(str(i) if kind == "string" and i is not None else i, y) for i, y in known], f"doc_id {kind}, toxic int")
+        for most in (26, 15, 4):
+            monkeypatch.setattr(toxicity, "BITMAP", most)
+            open_, y = toxicity.open_rows(d, "doc_id", "text", "lang"), toxicity.known_labels(d, labels, "doc_id")
+            assert sorted((x.text, x.y) for x in toxicity.in_order(open_, y, len(want), 3).collect()) == want
+            kept = toxicity.likely(open_, y, len(want))
+            assert kept.columns == open_.columns and len(want) <= kept.count() <= open_.count()
+    monkeypatch.setattr(toxicity, "BITMAP", 26)
+    assert toxicity.likely(open_, y, 1000).count() < 1.2 * len(want) < open_.count()
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
     assert toxicity.classify(docs(spark, EDGE), labels).count() == len(EDGE)

@@ -4,6 +4,7 @@ import hashlib
 import pickle
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -540,6 +541,8 @@ def test_toxicity_moves_each_text_that_teaches_once(spark):
     sc = spark.sparkContext._jsc.sc()
 
     def written():
+        time.sleep(0.3)  # Spark tells its totals at most every 0.1 s, at the next task
+        spark.sparkContext.parallelize([0], 1).count()
         sc.listenerBus().waitUntilEmpty()
         return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
 
